@@ -60,7 +60,7 @@ WITH RECURSIVE w AS (
 ), sh AS (
   SELECT DISTINCT doc_id, hash(s) AS s FROM (
     SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-      ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w)
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w)
 ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
