@@ -23,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from . import rolling
 from .common import CHUNK, whole_text
 
-EXACT_LANES, NEAR_LANES, NEAR_BITS, SHINGLE = 4, 128, 24, 5
+EXACT_LANES, NEAR_LANES, NEAR_BITS, SHINGLE, LANES = 4, 128, 24, 5, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -111,9 +111,10 @@ def with_successor(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = LANES * n  # several in a partition, for even partitions
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     rows = docs.select("doc_id", whole_text().alias("body"), key.alias("key"))
-    bounds = sorted(set(rows.where("doc_id is not null").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    bounds = sorted(set(rows.where("doc_id is not null").stat.approxQuantile("doc_id", [i / lanes for i in range(1, lanes)], 0.2 / lanes))) if lanes > 1 else []
     cuts = np.array(bounds, np.float64)
 
     @pandas_udf("long")

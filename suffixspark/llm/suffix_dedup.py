@@ -157,7 +157,8 @@ def _bodies(docs: DataFrame) -> DataFrame:
 
 def _runs(bodies: DataFrame, length: int, hot_group: int) -> DataFrame:
     spans = bodies.mapInArrow(_span_rows(length), "doc_id long, body_hash long, start long, n int, h long, g long")
-    twice = spans.groupBy("h").count().where("count > 1").select("h")
+    # Written first, so that the join has an exchange of its own on both sides, whose hot partitions Spark can split.
+    twice = materialise(spans.groupBy("h").count().where("count > 1").select("h"))
     spans = materialise(spans.join(twice, "h", "left_semi"))
     named = materialise(spans.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "body_hash", "start", "n")).alias("at")))
     whole = spans.join(named.where("c > 1").select("h", "g"), ["h", "g"], "left_semi").select("doc_id", "body_hash", "start", "n")
