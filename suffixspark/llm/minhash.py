@@ -4,11 +4,13 @@ Each document's set of word shingles gives HASHES minima. Groups of ROWS minima
 common key are candidates. The low BITS of each minimum are packed into a signature; equal bits, corrected for
 chance collisions, estimate the similarity of candidates, and those over ESTIMATE are compared on their full sets.
 
-Equal sets are one class from the start, and only classes go on. A band's classes are first compared with two leaders
-(its smallest and largest class id), so a group of m near copies costs a few times m comparisons, not m * m / 2.
-Links so far give components. Then every pair of a band that is still in different components is estimated, by
-blocks of signatures, and the likely ones compared too. So no pair within reach of the bands goes unseen
-unless it is already in one component, where a link adds nothing.
+Equal sets are one class from the start, and only classes go on. A band's classes are first compared with its leader, the
+class that meets most others over all its bands (the original, in a group of edited copies), so a group of m near
+copies costs m comparisons, not m * m / 2. Links so far give components. What is left are pairs of a band in
+different components. Blocks of signatures are estimated against each other; classes that look alike, directly or
+through others, make clusters, a row for each class; and each cluster's blocks of full sets are compared, which
+gives a row only for a link that joins two components. So no pair within reach of the bands goes
+unseen unless it is already in one component, where a link adds nothing, and no list of pairs is ever made.
 A pair at similarity 0.75 shares no band with odds 5e-6, and is estimated below ESTIMATE with odds under 1e-9.
 Class ids are 64-bit hashes of sets.
 """
@@ -155,36 +157,80 @@ def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, block pair): estimates pairs of different components between (or in) the two blocks."""
+def _merge(label: np.ndarray, at: np.ndarray) -> None:
+    """Give all that share a label with one of ``at`` one label."""
+    found = np.unique(label[at])
+    if len(found) > 1:
+        label[np.isin(label, found)] = found[0]
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, one, two = rows[0][0]
-        c = np.array([r[2] for r in rows])
-        comp = np.array([r[3] for r in rows])
-        block = np.array([r[1] for r in rows])
+
+def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], rest: tuple[str, ...]) -> Iterator[tuple[tuple, list[list]]]:
+    """Key and columns of each run of rows with equal keys."""
+    now, held = None, [[] for _ in rest]
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in key), strict=True))
+        cols = [batch.column(k).to_pylist() for k in rest]
+        i = 0
+        while i < len(keys):
+            j = i
+            while j < len(keys) and keys[j] == keys[i]:
+                j += 1
+            if keys[i] != now and held[0]:
+                yield now, held
+                held = [[] for _ in rest]
+            now = keys[i]
+            for h, c in zip(held, cols, strict=True):
+                h += c[i:j]
+            i = j
+    if held[0]:
+        yield now, held
+
+
+def _alike(i: int, right: np.ndarray, same: bool, c: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Of the rows ``right``, those of other components whose signatures look like that of row i; each pair once."""
+    others = right[c[right] > c[i]] if same else right
+    others = others[comp[others] != comp[i]]
+    return others[estimate(sig[others], sig[i]) >= ESTIMATE] if len(others) else others
+
+
+def _cluster_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (band, block pair): (a, b) edges that connect what looks alike, at most a row each."""
+    for (_, one, two), (block, c, comp, sig) in _groups(batches, ("band", "one", "two"), ("block", "c", "comp", "sig")):
+        block, c, comp = np.array(block), np.array(c), np.array(comp)
         if (comp == comp[0]).all():
-            return
-        sig = np.array([r[4] for r in rows], np.int64).view(_U)
+            continue
+        sig, label = np.array(sig, np.int64).view(_U), np.arange(len(c))
         right = np.flatnonzero(block == two)
         for i in np.flatnonzero(block == one):
-            others = right[c[right] > c[i]] if one == two else right
-            others = others[comp[others] != comp[i]]
+            others = _alike(i, right, one == two, c, comp, sig)
             if len(others):
-                others = others[estimate(sig[others], sig[i]) >= ESTIMATE]
-                if len(others):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(c[others], c[i])), pa.array(np.minimum(c[others], c[i]))], ["c", "leader"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in ("band", "one", "two", "block", "c", "comp", "sig")]
-        for band, one, two, block, c, comp, sig in zip(*cols, strict=True):
-            if held and held[0][0] != (band, one, two):
-                yield from solve(held)
-                held = []
-            held.append(((band, one, two), block, c, comp, sig))
-    if held:
-        yield from solve(held)
+                _merge(label, np.append(others, i))
+        joined = np.flatnonzero(np.bincount(label, minlength=len(c))[label] > 1)
+        if len(joined):
+            yield pa.RecordBatch.from_arrays([pa.array(c[joined]), pa.array(c[label[joined]])], ["a", "b"])
+
+
+def _exact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (cluster, block pair): the links between the two blocks that join components."""
+    for (_, one, two), (block, c, comp, sig, raw) in _groups(batches, ("cluster", "one", "two"), ("block", "c", "comp", "sig", "hashes")):
+        block, c, sig = np.array(block), np.array(c), np.array(sig, np.int64).view(_U)
+        comp = np.unique(np.array(comp), return_inverse=True)[1]
+        sets = [np.frombuffer(r, _U) for r in raw]
+        size = np.array([len(x) for x in sets])
+        right, left, to = np.flatnonzero(block == two), [], []
+        for i in np.flatnonzero(block == one):
+            others = _alike(i, right, one == two, c, comp, sig)
+            for a in range(0, len(others), 256):
+                part = others[a : a + 256]
+                every = np.concatenate([sets[k] for k in part])
+                at = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
+                common = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(size[part])[:-1]]))
+                for k in part[LINK_WHOLE * common >= LINK_PART * (size[part] + size[i] - common)]:
+                    if comp[k] != comp[i]:
+                        left.append(c[i]), to.append(c[k])
+                        _merge(comp, np.array([i, k]))
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(to, pa.int64())], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,15 +266,29 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return two.where(equal >= least).select("c", "leader")
 
 
+def _sets(wants: DataFrame, classes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """wants (c, wants: an array of structs) with the sorted shingle hashes of each class, from one of its documents."""
+    kind = wants.schema["wants"].dataType.simpleString()
+    wants = wants.join(classes.select("c", F.col("at.doc_id").alias("d"), F.col("at.body_hash").alias("h")), "c")
+    own = bodies.join(wants, bodies.doc_id.eqNullSafe(wants.d) & (bodies.body_hash == wants.h)).select("c", "wants", "body")
+    return own.mapInArrow(_set_rows, f"c long, wants {kind}, hashes binary")
+
+
+def _by_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows (key, c, m: rows of the key) into blocks, and each block to its pairs with all blocks of the key, sorted."""
+    n = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("c"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other", "m")
+    return rows.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two", "c")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, bodies: DataFrame) -> DataFrame:
     """Of the pairs (c, leader), those linked on their full sets, as (a, b). Large groups of a leader are salted."""
     pairs = materialise(pairs.distinct())
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     members = pairs.join(salts, "leader").select("c", F.struct("leader", F.pmod(F.hash("c"), F.col("salts")).alias("salt"), F.lit(1).alias("role")).alias("want"))
     leaders = salts.select(F.col("leader").alias("c"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.col("leader").alias("leader"), s.alias("salt"), F.lit(0).alias("role")))).alias("want"))
-    wants = members.unionByName(leaders).groupBy("c").agg(F.collect_list("want").alias("wants"))
-    wants = wants.join(classes.select("c", F.col("at.doc_id").alias("d"), F.col("at.body_hash").alias("h")), "c")
-    sets = bodies.join(wants, bodies.doc_id.eqNullSafe(wants.d) & (bodies.body_hash == wants.h)).select("c", "wants", "body").mapInArrow(_set_rows, "c long, wants array<struct<leader: long, salt: int, role: int>>, hashes binary")
+    sets = _sets(members.unionByName(leaders).groupBy("c").agg(F.collect_list("want").alias("wants")), classes, bodies)
     rows = sets.select("c", "hashes", F.explode("wants").alias("w")).select("c", "hashes", "w.*")
     dealt = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
     return materialise(dealt.select("leader", "salt", "role", "c", "hashes").mapInArrow(_compare_rows, "a long, b long"))
@@ -247,26 +307,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = sketches.where("n_shingles > 0")
     classes = materialise(rows.groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "doc_id", "body_hash")).alias("at"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     bands = classes.select("c", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("m > 1")
-    met = materialise(bands.join(ends, "band"))
-    star = met.select("c", F.explode(F.array("low", "high")).alias("leader")).where("c <> leader")
-    # A pair of leaders comes both ways.
-    star = star.select(F.greatest("c", "leader").alias("c"), F.least("c", "leader").alias("leader")).distinct()
-    edges = _linked(_close(star, classes), classes, bodies)
+    often = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    met = materialise(bands.join(often, "band"))
+    weight = met.groupBy("c").agg(F.sum("m").alias("w"))
+    leads = met.join(weight, "c").groupBy("band").agg(F.max(F.struct("w", "c")).alias("lead")).select("band", F.col("lead.c").alias("leader"))
+    star = met.join(leads, "band").where("c <> leader").select("c", "leader")
+    edges = _linked(_close(star.distinct(), classes), classes, bodies)
     labels = components(edges)
-    placed = met.select("c", "band", "m").join(labels.withColumnRenamed("v", "c"), "c", "left").select("c", "band", "m", F.coalesce("label", "c").alias("comp"))
+    placed = met.where("m > 2").join(labels.withColumnRenamed("v", "c"), "c", "left").select("c", "band", "m", F.coalesce("label", "c").alias("comp"))
+    # Both members of a band of two have met.
     open_ = placed.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("band")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    # Both members of a band of two have met as leaders already.
-    left = placed.where("m > 2").join(open_, "band", "left_semi").join(classes.select("c", "sig"), "c").select("c", "band", "comp", "sig", blocks.alias("n"), F.pmod(F.hash("c"), blocks).alias("block"))
-    left = left.select("c", "band", "comp", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    left = left.select("c", "band", "comp", "sig", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    dealt = left.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
-    more = dealt.mapInArrow(_block_rows, "c long, leader long").distinct().join(star, ["c", "leader"], "left_anti")
-    more = materialise(more)
-    if not more.isEmpty():
-        edges = edges.unionByName(_linked(more, classes, bodies))
-        labels = components(edges)
+    left = placed.join(open_, "band", "left_semi").join(classes.select("c", "sig"), "c")
+    alike = materialise(_by_blocks(left, "band").select("band", "one", "two", "block", "c", "comp", "sig").mapInArrow(_cluster_rows, "a long, b long").where("a <> b").distinct())
+    if not alike.isEmpty():
+        clusters = components(alike).select(F.col("v").alias("c"), F.col("label").alias("cluster"))
+        clusters = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
+        clusters = clusters.join(labels.withColumnRenamed("v", "c"), "c", "left").join(classes.select("c", "sig"), "c")
+        own = _sets(clusters.select("c", F.array(F.struct("cluster", "m", F.coalesce("label", "c").alias("comp"), "sig")).alias("wants")), classes, bodies)
+        dealt = _by_blocks(own.select("c", "hashes", F.explode("wants").alias("w")).select("c", "hashes", "w.*"), "cluster")
+        more = materialise(dealt.select("cluster", "one", "two", "block", "c", "comp", "sig", "hashes").mapInArrow(_exact_rows, "a long, b long"))
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            labels = components(edges)
     label = classes.select("c", F.col("at.doc_id").alias("first")).join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     smallest = label.groupBy("label").agg(F.min("first").alias("component_id"))
     of = label.join(smallest, "label").select("c", "component_id")
