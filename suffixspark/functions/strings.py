@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def lcp(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two strings or binaries; null if either is null."""
     most = F.least(F.length(a), F.length(b))
-    # Doubling steps down: a prefix of each power of two is taken while it is equal, so the work is logarithmic.
-    at = F.lit(0)
-    for k in range(20, -1, -1):
-        step = 1 << k
-        fits = (at + step <= most) & (F.substring(a, at + 1, F.lit(step)) == F.substring(b, at + 1, F.lit(step)))
-        at = F.when(fits, at + step).otherwise(at)
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).otherwise(at)
+    # From the largest power of two down, a step is taken if the parts that it would add are equal.
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+
+    def step(at: Column, size: Column) -> Column:
+        return F.when((at + size <= most) & (F.substring(a, at + 1, size) == F.substring(b, at + 1, size)), at + size).otherwise(at)
+
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).otherwise(F.aggregate(steps, F.lit(0), step))
 
 
 def lcp_short(a: Column, b: Column, limit: int) -> Column:
@@ -38,19 +38,19 @@ def first_at_least(values: list, key: Column) -> Column:
 
 
 def distinguishing_prefix(df: DataFrame, id_: str, text: str, initial: int = 4) -> DataFrame:
-    """(id, prefix): for each string the smallest ``initial`` * 2^k below its length with a prefix that occurs once, else
-    its length. Hashes stand for prefixes; a collision only makes a result longer. Strings shorter than a
-    prefix take part with all they have, as strings that end there. Each round keeps only the undecided.
+    """(id, prefix): for each string the smallest ``initial`` * 2^k up to its length whose prefix no other string has, else
+    its length. Hashes stand for prefixes; a collision only makes a result longer. A string is its own prefix up
+    to its length, so it makes longer strings' prefixes repeat. Each round keeps only the undecided.
     """
     from ..sources.shared import materialise
 
     left = df.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), F.col(text).alias("s"))
     out, size = None, initial
     while True:
-        last = left.where(F.length("s") <= size).select("id", F.length("s").alias("prefix"))
-        out = last if out is None else out.unionByName(last)
-        # The short ones still make others' prefixes repeat, but they are equal to a longer prefix only if a terminator is ignored, and it isn't.
-        left = left.where(F.length("s") > size).withColumn("h", F.xxhash64(F.substring("s", 1, size)))
+        short = left.where(F.length("s") < size).select("id", F.length("s").alias("prefix"))
+        out = short if out is None else out.unionByName(short)
+        # Strings that share a longer prefix share this one, so only those that repeat can matter to each other later.
+        left = left.where(F.length("s") >= size).withColumn("h", F.xxhash64(F.substring("s", 1, size)))
         once = left.groupBy("h").agg(F.count("*").alias("c")).where("c = 1").select("h")
         out = out.unionByName(left.join(once, "h", "left_semi").select("id", F.lit(size).alias("prefix")))
         left = materialise(left.join(once, "h", "left_anti").select("id", "s"))

@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,24 @@ def suffixes_per_group(df: DataFrame, group: str, text: str) -> DataFrame:
     return each.select(group, idx.alias("idx"), F.col("x.pos").alias("pos"))
 
 
+def suffix_arrays(df: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, idx, pos): the suffix array of each row's whole text, by code point; null and empty texts have no rows.
+
+    A text is sorted in the task that holds it, in O(n log^2 n); for one text beyond that, see ``suffix_array``.
+    """
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for key, own in zip(batch.column(0), batch.column(1), strict=True):
+                order = small_suffix_array(np.frombuffer(own.as_py().encode("utf-32-le"), np.uint32))
+                for a in range(0, len(order), 1 << 16):
+                    part = order[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(part), batch.schema.field(0).type), pa.array(np.arange(a, a + len(part))), pa.array(part.astype(np.int64))], [group, "idx", "pos"])
+
+    return df.where(F.length(text) > 0).select(group, text).mapInArrow(run, f"{group} {kind}, idx long, pos long")
+
+
 def sample_positions(text: Text, cover: Cover) -> DataFrame:
     """(pos, key): the sample's positions with X symbols from each; an empty key at the end where the cover needs it."""
     inside = F.array(*[F.lit(r) for r in cover.residues])
