@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise, shared_dir  # noqa: F401
+
 #: Bytes of text that a vectorised kernel takes at a time.
 CHUNK = 1 << 20
 
@@ -20,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_suffixspark_shared", None)
-    if not folder:
-        folder = spark._suffixspark_shared = tempfile.mkdtemp(prefix="suffixspark-")
-    return folder
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to a new table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole_text(column: str = "text"):
     """The text, empty for null."""
     return F.coalesce(F.col(column), F.lit(""))
