@@ -236,10 +236,15 @@ def _exact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for each vertex of the edges (a, b): the smallest vertex id of its component.
 
-    Each round takes the smallest label among neighbours, then the label's own label, so chains shorten
-    by half; edges between equal labels drop out. Labels are written each round.
+    First each vertex keeps its smallest neighbour only, and its other smaller neighbours are tied to that one instead:
+    many edges to few hubs become one each. Then each round takes the smallest label among neighbours and the
+    label's own label, so chains shorten by half. Edges and labels are written, so lineage stays short.
     """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    down = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("low")))
+    tied = down.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    own = least.select("a", F.col("low").alias("b")).unionByName(tied)
+    both = materialise(own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.v).groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
