@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, whole_text
+from .common import materialise, shared_dir, whole_text
 
 MIN_CHARS, BATCHES, FANOUT = 10, 4, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,15 +61,18 @@ class LineRuns:
 def _batch(docs: DataFrame, runs: LineRuns, min_chars: int) -> DataFrame:
     hashes = F.struct(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     lines = docs.select("doc_id", "body_hash", "owner", F.posexplode(F.split("body", "\n")).alias("i", "line")).withColumn("key", line_key(F.col("line")))
-    lines = lines.where(F.char_length("key") >= min_chars).select("doc_id", "body_hash", "owner", "i", hashes.alias("h")).select("doc_id", "body_hash", "owner", "i", "h.*")
+    # Written, as both the runs and the drops read them, and splitting the text is the dear part; they are a few numbers a line.
+    lines = materialise(lines.where(F.char_length("key") >= min_chars).select("doc_id", "body_hash", "owner", "i", hashes.alias("h")).select("doc_id", "body_hash", "owner", "i", "h.*"))
     runs.add(lines.groupBy("h1", "h2").agg(F.min("owner").alias("owner")))
     known = runs.known().withColumnRenamed("owner", "first")
     drops = lines.join(known, ["h1", "h2"]).where("first <> owner").groupBy(F.col("doc_id").alias("d"), F.col("body_hash").alias("b")).agg(F.collect_set("i").alias("drops"))
     both = docs.join(drops, docs.doc_id.eqNullSafe(drops.d) & (docs.body_hash == drops.b), "left").drop("d", "b")
-    lines = F.split("body", "\n")
+    # The split text is a column of its own: inside the lambda it would be split anew for each line.
+    both = both.withColumn("lines", F.split("body", "\n"))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops")), lambda i: F.get("lines", i)), "\n")
     none = F.col("drops").isNull()
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops")), lambda i: F.get(lines, i)), "\n")
-    return both.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.when(none, 0).otherwise(F.size("drops")).cast("long")).withColumn("kept", F.when(none, F.col("body")).otherwise(kept)).drop("drops", "body", "body_hash", "owner")
+    both = both.withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dropped", F.when(none, 0).otherwise(F.size("drops")).cast("long"))
+    return both.withColumn("kept", F.when(none, F.col("body")).otherwise(kept)).drop("drops", "lines", "body", "body_hash", "owner")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
@@ -84,7 +87,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     runs = runs or LineRuns(spark)
     key = F.coalesce(F.col("doc_id"), F.lit(_FIRST))
     bounds = sorted({int(b) for b in docs.where("doc_id is not null").stat.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
-    own = docs.drop("n_lines", "n_dropped", "kept", "body", "body_hash", "owner", "drops", "d", "b")
+    own = docs.drop("n_lines", "n_dropped", "kept", "body", "body_hash", "owner", "drops", "lines", "d", "b")
     own = own.withColumn("owner", key).withColumn("body", whole_text()).withColumn("body_hash", F.xxhash64("body"))
     out = None
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
