@@ -64,12 +64,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     np.maximum.at(top, of, share)
     symbols = np.concatenate([[0], np.cumsum(_SYMBOL_ONLY[data])])
     uppers = np.concatenate([[0], np.cumsum(_UPPER[data])])
-    breaks = np.sort(np.concatenate([np.flatnonzero(data == 10), offsets[1:]]))
-    starts = np.sort(np.concatenate([np.flatnonzero(data == 10) + 1, offsets[:-1]]))
-    line_doc = np.minimum(np.searchsorted(offsets, starts, "right") - 1, n - 1)
-    # Empty documents share an offset with the next one; their single empty line then counts there, which is harmless.
-    lines = np.maximum(np.bincount(line_doc, minlength=n), 1).astype(np.float64)
-    lh = rolling.span_hash(p, starts, np.maximum(breaks, starts))
+    breaks = np.flatnonzero(data == 10)
+    starts = np.concatenate([offsets[:-1], breaks + 1])
+    line_doc = np.concatenate([np.arange(n), np.searchsorted(offsets, breaks, "right") - 1])
+    order = np.lexsort((starts, line_doc))
+    starts, line_doc = starts[order], line_doc[order]
+    ends = np.append(starts[1:] - 1, offsets[-1])
+    last = np.append(line_doc[1:] != line_doc[:-1], True)
+    ends[last] = offsets[1:]
+    lines = np.bincount(line_doc, minlength=n).astype(np.float64)
+    lh = rolling.span_hash(p, starts, ends)
     order = np.lexsort((lh, line_doc))
     again = (lh[order][1:] == lh[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
     repeated = np.bincount(line_doc[order][1:][again], minlength=n)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import as_int64, buffers, chunks, materialise, whole_text
+from .common import CHUNK, as_int64, buffers, chunks, materialise, whole_text
 from .difference_cover import repeated_windows
 
 LENGTH = 200
@@ -65,7 +65,7 @@ def _span_rows(length: int):
         limit = (1 << _PLACE) - 1
         for batch in batches:
             offsets, data = buffers(batch.column("body"))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, min(CHUNK, limit)):
                 a, b = int(offsets[i]), int(offsets[j])
                 step = limit - length
                 # A document beyond the limit is cut; the cuts overlap by length - 1 bytes, so each window is in one.
