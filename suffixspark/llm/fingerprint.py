@@ -23,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from . import rolling
 from .common import CHUNK, whole_text
 
-EXACT_LANES, NEAR_LANES, NEAR_BITS, SHINGLE, LANES = 4, 128, 24, 5, 4
+EXACT_LANES, NEAR_LANES, NEAR_BITS, SHINGLE = 4, 128, 24, 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -111,10 +111,9 @@ def with_successor(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lanes = LANES * n  # several in a partition, for even partitions
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     rows = docs.select("doc_id", whole_text().alias("body"), key.alias("key"))
-    bounds = sorted(set(rows.where("doc_id is not null").stat.approxQuantile("doc_id", [i / lanes for i in range(1, lanes)], 0.2 / lanes))) if lanes > 1 else []
+    bounds = sorted(set(rows.where("doc_id is not null").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     cuts = np.array(bounds, np.float64)
 
     @pandas_udf("long")
@@ -139,8 +138,11 @@ def with_successor(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         ghost = heads[at] == k
         return pd.Series([[2 * a, 2 * b + 1] if g else [2 * a] for a, b, g in zip(lane.tolist(), to[at].tolist(), ghost.tolist(), strict=True)])
 
+    # For each lane a number that hashes to a partition of its own; else lanes would meet by chance.
+    homes = {r["home"]: r["id"] for r in spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("home")).agg(F.min("id").alias("id")).collect()}
+    home = F.create_map(*[F.lit(x).cast("long") for lane in range(n) for x in (lane, homes.get(lane, lane))])
     dealt = rows.select("doc_id", "key", "body", F.explode(codes("key")).alias("code")).withColumn("lane", F.shiftright("code", 1))
-    return dealt.repartition(n, "lane").sortWithinPartitions("lane", "code", "key", "body").select("doc_id", "body", "lane", (F.col("code") % 2 == 1).alias("ghost"))
+    return dealt.withColumn("home", F.element_at(home, F.col("lane"))).repartition(n, "home").sortWithinPartitions("lane", "code", "key", "body").select("doc_id", "body", "lane", (F.col("code") % 2 == 1).alias("ghost"))
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
