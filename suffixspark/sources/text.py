@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 
+LEAST_CHUNK = 1024
+
+
 @dataclass(frozen=True)
 class Text:
     """Chunks of n symbols of ``width`` bytes; ``chunk`` symbols each, ``halo`` more in the body."""
@@ -46,7 +49,12 @@ def _pieces(rows: DataFrame, chunk: int, halo: int, width: int) -> DataFrame:
 
 
 def _finish(pieces: DataFrame, n: int, width: int, chunk: int, halo: int) -> Text:
-    return Text(materialise(_pieces(pieces, chunk, halo, width)), n, width, chunk, halo)
+    """Chunks are at most ``chunk`` long, and short enough to give every partition several: keys are many times the text."""
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = max(min(chunk, LEAST_CHUNK), min(chunk, -(-n // (4 * tasks))))
+    chunks = materialise(_pieces(pieces, chunk, halo, width))
+    # A small text's files would be read by one task.
+    return Text(chunks.repartition(tasks, "start"), n, width, chunk, halo)
 
 
 def from_bytes(spark: SparkSession, data: bytes, chunk: int, halo: int) -> Text:
