@@ -140,9 +140,9 @@ def with_successor(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
     # For each lane a number that hashes to a partition of its own; else lanes would meet by chance.
     homes = {r["home"]: r["id"] for r in spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("home")).agg(F.min("id").alias("id")).collect()}
-    home = F.create_map(*[F.lit(x).cast("long") for lane in range(n) for x in (lane, homes.get(lane, lane))])
+    home = F.array(*[F.lit(homes.get(lane, lane)).cast("long") for lane in range(n)])
     dealt = rows.select("doc_id", "key", "body", F.explode(codes("key")).alias("code")).withColumn("lane", F.shiftright("code", 1))
-    return dealt.withColumn("home", F.element_at(home, F.col("lane"))).repartition(n, "home").sortWithinPartitions("lane", "code", "key", "body").select("doc_id", "body", "lane", (F.col("code") % 2 == 1).alias("ghost"))
+    return dealt.withColumn("home", F.get(home, F.col("lane").cast("int"))).repartition(n, "home").sortWithinPartitions("lane", "code", "key", "body").select("doc_id", "body", "lane", (F.col("code") % 2 == 1).alias("ghost"))
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
