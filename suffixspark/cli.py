@@ -12,7 +12,7 @@ from .config import add_options, parse_config
 from .functions import stats
 from .functions.cover import Cover
 from .operators import check, suffix_array
-from .sources import sinks, text
+from .sources import shared, sinks, text
 
 
 def arguments(args: list[str]) -> argparse.Namespace:
@@ -47,6 +47,7 @@ def run(spark: SparkSession, args: list[str]) -> dict:
     if options.output:
         (sinks.write_parquet if options.output.endswith(".parquet") else sinks.write_uint40)(sa, options.output)
         lap("write")
+    shared.release(spark)
     for k, v in {**record, **times}.items():
         print(f"{k}={v}")
     if options.json_output_path:

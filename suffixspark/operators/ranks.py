@@ -24,12 +24,12 @@ def ranged(df: DataFrame, order: list[str], partitions: int = 0) -> DataFrame:
 
 def shift(df: DataFrame, per_part: DataFrame, value: str) -> Column:
     """For each row of df the sum of ``value`` over smaller parts; per_part has a row per part, so it is small."""
-    rows = sorted((r[PART], r[value]) for r in per_part.collect())
-    sums = list(accumulate((v for _, v in rows), initial=0))
-    if not rows:
+    values = {r[PART]: r[value] for r in per_part.collect()}
+    if not values:
         return F.lit(0).cast("long")
-    table = F.create_map(*[x for (p, _), s in zip(rows, sums, strict=False) for x in (F.lit(p), F.lit(s).cast("long"))])
-    return F.element_at(table, F.col(PART))
+    sums = accumulate((values.get(p, 0) for p in range(max(values))), initial=0)
+    # A literal array: looked up by place, however many parts there are.
+    return F.get(F.array(*[F.lit(s).cast("long") for s in sums]), F.col(PART))
 
 
 def dense_rank(df: DataFrame, key: str, partitions: int = 0) -> tuple[DataFrame, int]:

@@ -124,6 +124,16 @@ def test_files_round_trip(spark, tmp_path):
         cli.run(spark, ["--input", str(tmp_path / "nothing")])
 
 
+def test_tables_are_released(spark):
+    from suffixspark.sources import shared
+
+    shared.release(spark)
+    df = shared.materialise(spark.range(3))
+    assert df.count() == 3 and shared.release(spark) == 1 and shared.release(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        spark.read.schema(df.schema).parquet(*df.inputFiles()).count()
+
+
 def test_cover_and_reduced_order_match(spark):
     cover, n = Cover.of(7), 100
     data = _text(5, n, 1)
