@@ -11,6 +11,9 @@
    An anchor with over ``hot_group`` different spans would be an unbounded bucket; its windows are
    counted one by one under two 64-bit hashes instead, which spreads them over all tasks.
 
+Joins by anchor, span or window look each key's row count up first: keys with over 1/HEAVY of the rows, fewer than HEAVY
+of them, are dealt out by salt, so no passage, however common, lands in one task.
+
 All shuffled rows but the bucketed spans are a few integers wide; the text itself is dealt out once by document
 (both joins reuse that exchange).
 """
@@ -31,6 +34,7 @@ from .difference_cover import repeated_windows
 
 LENGTH = 200
 HOT_GROUP = 4096
+HEAVY = 4096
 #: Bits of an anchor's key that hold its place in the chunk.
 _PLACE = 21
 
@@ -155,15 +159,27 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(whole_text()).alias("body_hash"), whole_text().cast("binary").alias("body"))
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of rows (doc_id, start, ...) with keys: written, one row for each key, ``weight`` its number of rows.
+
+    A key with over 1/HEAVY of all weight has its rows dealt to as many salts as keep each under that share. There are
+    under HEAVY such keys, whatever the input, so they are broadcast; and at most 2 * HEAVY salts.
+    """
+    share = (keys.agg(F.sum(weight)).first()[0] or 0) / HEAVY
+    heavy = keys.where(F.col(weight) > share).where(F.col(weight) > HEAVY).select(*on, F.ceil(F.col(weight) / max(share, 1)).cast("int").alias("_salts"))
+    dealt = rows.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    each = keys.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(each, [*on, "_salt"]).drop("_salt")
+
+
 def _runs(bodies: DataFrame, length: int, hot_group: int) -> DataFrame:
     spans = bodies.mapInArrow(_span_rows(length), "doc_id long, body_hash long, start long, n int, h long, g long")
-    # Written first, so that the join has an exchange of its own on both sides, whose hot partitions Spark can split.
-    twice = materialise(spans.groupBy("h").count().where("count > 1").select("h"))
-    spans = materialise(spans.join(twice, "h", "left_semi"))
+    twice = materialise(spans.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
+    spans = materialise(_with_keys(spans, twice, ["h"], "k").select("doc_id", "body_hash", "start", "n", "h", "g"))
     named = materialise(spans.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "body_hash", "start", "n")).alias("at")))
-    whole = spans.join(named.where("c > 1").select("h", "g"), ["h", "g"], "left_semi").select("doc_id", "body_hash", "start", "n")
-    groups = named.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    mixed = named.join(groups, "h").select(F.col("at.doc_id").alias("d"), F.col("at.body_hash").alias("b"), F.struct("h", "at.start", "at.n", (F.col("c") > 1).alias("done"), (F.col("m") > hot_group).alias("hot")).alias("span"))
+    whole = _with_keys(spans, named.where("c > 1").select("h", "g", "c"), ["h", "g"], "c").select("doc_id", "body_hash", "start", "n")
+    groups = materialise(named.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+    mixed = _with_keys(named.select("h", "c", "at", "at.doc_id", "at.start"), groups, ["h"], "m").select(F.col("at.doc_id").alias("d"), F.col("at.body_hash").alias("b"), F.struct("h", "at.start", "at.n", (F.col("c") > 1).alias("done"), (F.col("m") > hot_group).alias("hot")).alias("span"))
     mixed = mixed.groupBy("d", "b").agg(F.collect_list("span").alias("spans"))
     cut = bodies.join(mixed, bodies.doc_id.eqNullSafe(mixed.d) & bodies.body_hash.eqNullSafe(mixed.b))
     cut = cut.select("doc_id", "body_hash", F.explode(F.transform("spans", lambda s: F.struct(s.h.alias("h"), s.start.alias("start"), s.n.alias("n"), s.done.alias("done"), s.hot.alias("hot"), F.substring(F.col("body"), s.start.cast("int") + 1, s.n + (length - 1)).alias("body")))).alias("s")).select("doc_id", "body_hash", "s.*")
@@ -172,8 +188,8 @@ def _runs(bodies: DataFrame, length: int, hot_group: int) -> DataFrame:
     sorted_runs = cut.where("not hot").select("h", "doc_id", "body_hash", "start", "done", "body").repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_rows(length), "doc_id long, body_hash long, start long, n int")
     windows = cut.where("hot").select("doc_id", "body_hash", "done", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(o.alias("o"), F.substring(F.col("body"), o + 1, F.lit(length)).alias("w")))).alias("i", "x"), "start", "h")
     windows = windows.select("doc_id", "body_hash", "done", (F.col("start") + F.col("x.o")).alias("start"), F.xxhash64("x.w").alias("w1"), F.xxhash64("h", "x.w").alias("w2"))
-    often = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    counted = windows.where("not done").join(often, ["w1", "w2"], "left_semi").select("doc_id", "body_hash", "start", F.lit(1).alias("n"))
+    often = materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1"))
+    counted = _with_keys(windows.where("not done"), often, ["w1", "w2"], "k").select("doc_id", "body_hash", "start", F.lit(1).alias("n"))
     return whole.unionByName(sorted_runs).unionByName(counted)
 
 
