@@ -62,8 +62,9 @@ def brute_repeats(rows, n):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("n,hot", [(6, 4096), (6, 2), (25, 4096), (25, 2)])
-def test_repeats(spark, n, hot):
+@pytest.mark.parametrize("n,hot,heavy", [(6, 4096, 4096), (6, 2, 4096), (6, 2, 3), (25, 4096, 4096), (25, 2, 4096), (25, 4096, 3)])
+def test_repeats(spark, monkeypatch, n, hot, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
     r = random.Random(n)
     rows = ODD + [(10 + i, "".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for i in range(40)]
     got = suffix_dedup.remove_repeats(with_extras(spark, rows), n, hot)
