@@ -23,7 +23,8 @@ from .common import whole_text
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Looked for at the start of a run of digits only, where a match must start: else a long run costs its square.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -62,11 +63,13 @@ _digit = rf"(?:(?:double|triple)[\s-]+)?(?:{_words}|[0-9])"
 _at, _dot, _plus = "|".join(_AT_WORDS), "|".join(_DOT_WORDS), "|".join(_PLUS_WORDS)
 _open, _close = r"[\[({<]", r"[\])}>]"
 _name = r"[A-Za-z0-9-]+"
+#: White space from its start, or none: tried from each place in it, a long run would cost its square.
+_space = r"(?:(?<!\s)\s++)?"
 #: Rewritten in ASCII by now. Groups: at sign, dot, run of digit words.
 _DISGUISE = re.compile(
-    rf"(?P<at>\s*{_open}\s*(?:{_at}|@)\s*{_close}\s*|\s*&(?:\#64|\#x40|commat);\s*|(?<=\w)[_*~]+(?:{_at})[_*~]+(?=\w)|(?<=\w)\s+(?:{_at})\s+(?={_name}(?:\s*{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|\s+(?:{_dot})\s+){_name})|(?<=\w)\s+@\s*(?={_name}\s*\.)|(?<=\w)\s*@\s+(?={_name}\s*\.))"
-    rf"|(?P<dot>\s*{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|\s*&(?:\#46|\#x2e|period);\s*|(?<=\w)[_*~]+(?:{_dot})[_*~]+(?=\w)|(?<=\w)\s+(?:{_dot})\s+(?=\w))"
-    rf"|(?P<digits>(?<!\w)(?:(?:{_plus})\s+(?={_digit}))?(?:(?:{_digit})(?:\s*[-,.]?\s*(?={_digit}(?!\w)))?)+(?!\w))",
+    rf"(?P<at>{_space}{_open}\s*(?:{_at}|@)\s*{_close}\s*|{_space}&(?:\#64|\#x40|commat);\s*|(?<=\w)[_*~]+(?:{_at})[_*~]+(?=\w)|(?<=\w)\s+(?:{_at})\s+(?={_name}(?:\s*{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|\s+(?:{_dot})\s+){_name})|(?<=\w)\s+@\s*(?={_name}\s*\.)|(?<=\w)\s*@\s+(?={_name}\s*\.))"
+    rf"|(?P<dot>{_space}{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|{_space}&(?:\#46|\#x2e|period);\s*|(?<=\w)[_*~]+(?:{_dot})[_*~]+(?=\w)|(?<=\w)\s+(?:{_dot})\s+(?=\w))"
+    rf"|(?P<digits>(?<!\w)(?:(?:{_plus})\s+(?={_digit}))?(?:(?:{_digit})(?:\s*+(?:[-,.]\s*+)?+(?={_digit}(?!\w)))?)+(?!\w))",
     re.IGNORECASE,
 )
 _DIGIT_TOKEN = re.compile(rf"(?P<plus>{_plus})\s+|(?:(?P<times>double|triple)[\s-]+)?(?P<one>{_words}|[0-9])", re.IGNORECASE)
