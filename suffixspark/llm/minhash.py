@@ -290,7 +290,7 @@ def _by_blocks(rows: DataFrame, key: str) -> DataFrame:
 def _linked(pairs: DataFrame, classes: DataFrame, bodies: DataFrame) -> DataFrame:
     """Of the pairs (c, leader), those linked on their full sets, as (a, b). Large groups of a leader are salted."""
     pairs = materialise(pairs.distinct())
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    salts = materialise(pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts")))
     members = pairs.join(salts, "leader").select("c", F.struct("leader", F.pmod(F.hash("c"), F.col("salts")).alias("salt"), F.lit(1).alias("role")).alias("want"))
     leaders = salts.select(F.col("leader").alias("c"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.col("leader").alias("leader"), s.alias("salt"), F.lit(0).alias("role")))).alias("want"))
     sets = _sets(members.unionByName(leaders).groupBy("c").agg(F.collect_list("want").alias("wants")), classes, bodies)
@@ -312,16 +312,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = sketches.where("n_shingles > 0")
     classes = materialise(rows.groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "doc_id", "body_hash")).alias("at"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     bands = classes.select("c", F.explode("bands").alias("band"))
-    often = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    # Written, as are leads and open_ and the salts: a join splits a hot band only where both sides are exchanges of their own.
+    often = materialise(bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"))
     met = materialise(bands.join(often, "band"))
     weight = met.groupBy("c").agg(F.sum("m").alias("w"))
-    leads = met.join(weight, "c").groupBy("band").agg(F.max(F.struct("w", "c")).alias("lead")).select("band", F.col("lead.c").alias("leader"))
+    leads = materialise(met.join(weight, "c").groupBy("band").agg(F.max(F.struct("w", "c")).alias("lead")).select("band", F.col("lead.c").alias("leader")))
     star = met.join(leads, "band").where("c <> leader").select("c", "leader")
     edges = _linked(_close(star.distinct(), classes), classes, bodies)
     labels = components(edges)
     placed = met.where("m > 2").join(labels.withColumnRenamed("v", "c"), "c", "left").select("c", "band", "m", F.coalesce("label", "c").alias("comp"))
     # Both members of a band of two have met.
     open_ = placed.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("band")
+    open_ = materialise(open_)
     left = placed.join(open_, "band", "left_semi").join(classes.select("c", "sig"), "c")
     alike = materialise(_by_blocks(left, "band").select("band", "one", "two", "block", "c", "comp", "sig").mapInArrow(_cluster_rows, "a long, b long").where("a <> b").distinct())
     if not alike.isEmpty():
