@@ -2,15 +2,18 @@
 
 The page is cut into blocks at block-level tags, with what the markup itself names as not the article left out (menus,
 headers, footers, asides, forms, scripts, adverts, notices, comments; by element, role or class).
-Pass 1 decides a block by its density of stop words, its length and the share of its characters in links. Blocks
-inside an <article> or <main> count as text unless they are mostly links. Pass 2 gives each undecided
-(short or middling) block the label of its nearest decided neighbours; a heading goes with what it heads.
+Pass 1 decides every block by its density of stop words, its length and the share of its characters in links. Inside
+an <article> or <main> the thresholds are lower. Stop words can't tell where a page's text blocks together have hardly
+any, or a block's letters are mostly not Latin: there, length and links alone decide. Pass 2 gives each undecided
+(short or middling) block the label of its nearest decided neighbours on its side of the <article>'s border; a heading
+goes with what it heads.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +27,12 @@ STOP_WORDS = {
     "fr": frozenset("le la les de des du et un une en est que qui pour dans pas sur au avec il elle ce par plus ne se son sont mais ou aux cette".split()),
     "es": frozenset("el la los las de del y un una en que es por con para se no lo su al como más pero sus le ya o este sí porque esta entre".split()),
 }
-SHORT, LONG, LINKS, ARTICLE_LINKS, STOP_LOW, STOP_HIGH, HEADING_REACH = 70, 200, 0.3, 0.66, 0.12, 0.22, 200
+SHORT, LONG, LINKS, ARTICLE_LINKS, STOP_LOW, ARTICLE_STOP_LOW, STOP_HIGH, HEADING_REACH = 70, 200, 0.3, 0.66, 0.12, 0.05, 0.22, 200
+_LANGUAGES = {w: [k for k, own in STOP_WORDS.items() if w in own] for w in frozenset().union(*STOP_WORDS.values())}
+_WORD = re.compile(r"[^\W\d_]+")
+_NOT_LATIN = re.compile(r"[^\W\d_\x00-\u024f\u1e00-\u1eff]+")
+#: Characters that say about as much as two of an alphabet.
+_WIDE = re.compile(r"[\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\uff00-\uff60\U00020000-\U0003ffff]+")
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
 _TOKEN = re.compile(
@@ -76,20 +84,35 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class Block:
-    """Text of one block, its characters in links, and whether it is in an article or a heading."""
+    """Text of one block, its share of characters in links, whether it is in an article, a heading or a <pre>, its length, words and stop words by language."""
 
-    __slots__ = ("in_article", "heading", "linked", "text")
+    __slots__ = ("counts", "heading", "in_article", "links", "pre", "size", "text", "told", "words")
 
-    def __init__(self, text: str, linked: int, in_article: bool, heading: bool):
-        self.text, self.linked, self.in_article, self.heading = text, linked, in_article, heading
+    def __init__(self, text: str, linked: int, in_article: bool, heading: bool, pre: bool):
+        self.text, self.in_article, self.heading, self.pre = text, in_article, heading, pre
+        self.links = linked / max(1, len(text.replace(" ", "")))
+        self.size, self.told = len(text), True
+        words = _WORD.findall(text.lower())
+        self.words, self.counts = len(words), Counter(k for w in words if w in _LANGUAGES for k in _LANGUAGES[w])
+        if not text.isascii() and (other := sum(map(len, _NOT_LATIN.findall(text)))):
+            self.size += sum(map(len, _WIDE.findall(text)))
+            self.told = 2 * other <= sum(map(len, words))
+
+    def density(self) -> float:
+        """The largest share of words that are one language's stop words."""
+        return max(self.counts.values(), default=0) / max(1, self.words)
+
+    def stands(self) -> bool:
+        """Whether a middling block is text even between blocks that aren't."""
+        return self.size >= SHORT and (self.density() >= STOP_HIGH if self.told else not self.links)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, without those that the markup names as something else."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, left out, in article, in link
-    out_now = article = link = False
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, left out, in article, in link, in <pre>
+    out_now = article = link = pre = False
     heading = False
     breaks = 0
 
@@ -99,12 +122,12 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
                 linked = sum(len("".join(p.split())) for p, in_link in parts if in_link)
-                out.append(Block(text, linked, article, heading))
+                out.append(Block(text, linked, article, heading, pre))
             parts = []
 
     def settle() -> None:
-        nonlocal out_now, article, link
-        _, out_now, article, link = stack[-1] if stack else ("", False, False, False)
+        nonlocal out_now, article, link, pre
+        _, out_now, article, link, pre = stack[-1] if stack else ("", False, False, False, False)
 
     done = 0
     for m in _TOKEN.finditer(page):
@@ -155,71 +178,81 @@ def blocks(page: str) -> list[Block]:
             article = True
         out_now = out_now or _left_out(tag, m[4], article)
         link = link or tag == "a"
+        pre = pre or tag == "pre"
         heading = tag in _HEADINGS if tag in _BLOCK else heading
-        stack.append((tag, out_now, article, link))
+        stack.append((tag, out_now, article, link, pre))
     if done < len(page) and not out_now:
         parts.append((html.unescape(page[done:]), link))
     flush()
     return out
 
 
-def stop_density(text: str) -> float:
-    """The largest share of words that are one language's stop words."""
-    words = [w.strip(".,;:!?\"'()«»") for w in text.lower().split()]
-    return max(sum(w in own for w in words) for own in STOP_WORDS.values()) / max(1, len(words))
+def weigh(found: list[Block]) -> None:
+    """Notes which blocks stop words can't tell about: all of a page whose text blocks hardly have any known ones."""
+    texts = [b for b in found if b.told and b.size >= SHORT and b.links <= (ARTICLE_LINKS if b.in_article else LINKS)]
+    counts = sum((b.counts for b in texts), Counter())
+    if max(counts.values(), default=0) < STOP_LOW * sum(b.words for b in texts):
+        for b in found:
+            b.told = False
 
 
 def decide(b: Block) -> str:
     """Pass 1: good, bad, near (probably text) or short (too short to tell)."""
-    n = len(b.text)
-    links = b.linked / max(1, len(b.text.replace(" ", "")))
-    if b.in_article:
-        return "bad" if links > ARTICLE_LINKS else "good" if n >= SHORT or not b.linked else "near"
-    if links > LINKS or "©" in b.text:
+    if b.links > (ARTICLE_LINKS if b.in_article else LINKS) or (not b.in_article and "©" in b.text):
         return "bad"
-    if n < SHORT:
-        return "bad" if b.linked else "short"
-    density = stop_density(b.text)
+    if b.size < SHORT:
+        return "near" if b.in_article else "bad" if b.links else "short"
+    if not b.told:
+        return "good" if b.in_article or b.size >= LONG else "near"
+    density = b.density()
+    if b.in_article:
+        # A short text, a heading or a program may do without stop words.
+        return "good" if density >= STOP_LOW or b.size >= LONG and density >= ARTICLE_STOP_LOW else "near" if b.size < LONG or b.heading or b.pre else "bad"
     if density >= STOP_HIGH:
-        return "good" if n >= LONG else "near"
+        return "good" if b.size >= LONG else "near"
     return "near" if density >= STOP_LOW else "bad"
 
 
 def main_blocks(page: str) -> list[str]:
     """The texts of the blocks that both passes take for the article."""
     found = blocks(page)
-    # A page that marks its article has nothing of it elsewhere.
-    if any(b.in_article for b in found):
-        found = [b for b in found if b.in_article]
+    weigh(found)
     first = [decide(b) for b in found]
     n = len(found)
     before, after = [None] * n, [None] * n
     for order, to in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None
+        last = {True: None, False: None}
         for i in order:
-            to[i] = last
+            side = found[i].in_article
+            to[i] = last[side]
             if first[i] in ("good", "bad"):
-                last = i
-    out = []
+                last[side] = i
+    labels = []
     for i, b in enumerate(found):
         label = first[i]
         if label in ("near", "short"):
             p, q = before[i], after[i]
             sides = [(i - p, first[p])] if p is not None else []
             sides += [(q - i, first[q])] if q is not None else []
-            if b.heading:
+            if b.heading and not b.in_article:
                 label = "good" if q is not None and first[q] == "good" and sum(len(x.text) for x in found[i + 1 : q]) <= HEADING_REACH else "bad"
             elif not sides:
                 label = "good" if label == "near" else "bad"
             elif len({s for _, s in sides}) == 1:
-                # Between bad blocks, a middling block stands for itself; a short one goes.
-                label = "good" if sides[0][1] == "good" or (label == "near" and len(b.text) >= SHORT and stop_density(b.text) >= STOP_HIGH) else "bad"
+                # Between bad blocks, a middling block stands for itself; a short one goes. In an article, it takes bad ones on both sides.
+                label = "good" if sides[0][1] == "good" or (label == "near" and (b.stands() or b.in_article and len(sides) == 1)) else "bad"
             else:
                 nearest = min(sides)
                 label = "good" if label == "near" or nearest[1] == "good" and sides[0][0] != sides[1][0] else "bad"
-        if label == "good":
-            out.append(b.text)
-    return out
+        labels.append(label)
+    # An article's heading goes with the next block of the article; the last one stays.
+    heads = "good"
+    for i in range(n - 1, -1, -1):
+        if found[i].in_article:
+            if found[i].heading and first[i] == "near":
+                labels[i] = heads
+            heads = labels[i]
+    return [b.text for b, label in zip(found, labels, strict=True) if label == "good"]
 
 
 def extract(page: str | None) -> str:

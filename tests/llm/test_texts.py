@@ -119,6 +119,20 @@ def test_pages(spark):
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == sorted([(i, t, len(t)) for i, (_, t) in enumerate(PAGES)] + [(0, "", 0)])
 
 
+LIST = "Lamps, tables, chairs, sofas, mirrors, carpets, curtains, shelves, drawers, benches, stools, desks, pillows, blankets, vases, candles, frames, clocks, baskets, trays, bowls, plates, cups, glasses, knives, forks, spoons, pans."
+JAPANESE = "東京の朝は静かに始まり、人々は駅へ向かって歩いていく。空は青く、風は少し冷たい。" * 4
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<div><h2>The title</h2><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></div><article class=card><a href=x>More</a></article>", f"The title\n{PROSE.strip()}\nShort one.\n{PROSE.strip()}"),
+    (f"<main><h1>T</h1><p>{PROSE}</p><h2>Goods</h2><p>{LIST}</p><p>One more.</p><p>{PROSE}</p><pre>{LIST}</pre></main>", f"T\n{PROSE.strip()}\nOne more.\n{PROSE.strip()}\n{LIST}"),
+    (f"<article><h1>T</h1><p>Short one.</p><p>{LIST}</p></article>", f"T\nShort one.\n{LIST}"),
+    (f"<article><p>{JAPANESE}</p><p>{PROSE}</p></article>", f"{JAPANESE}\n{PROSE.strip()}"),
+])
+def test_articles_only_weigh_in(page, want):
+    assert html_extract.extract(page) == want
+
+
 def test_pages_of_the_table(spark, sf):
     """The table's articles, cut out by their known template."""
     import html
