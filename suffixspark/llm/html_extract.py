@@ -198,7 +198,7 @@ def weigh(found: list[Block]) -> None:
 
 def decide(b: Block) -> str:
     """Pass 1: good, bad, near (probably text) or short (too short to tell)."""
-    if b.links > (ARTICLE_LINKS if b.in_article else LINKS) or (not b.in_article and "©" in b.text):
+    if b.links > (ARTICLE_LINKS if b.in_article else LINKS) or (not b.in_article and b.size < SHORT and "©" in b.text):
         return "bad"
     if b.size < SHORT:
         return "near" if b.in_article else "bad" if b.links else "short"

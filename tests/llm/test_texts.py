@@ -133,6 +133,15 @@ def test_articles_only_weigh_in(page, want):
     assert html_extract.extract(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    (f"<div><p>{PROSE}</p><p>{PROSE}The sign © is one of them.</p><p>© 2020 Me</p></div>", f"{PROSE.strip()}\n{PROSE}The sign © is one of them."),
+    (f"<div><a href=a>{JAPANESE}</a></div><div>{JAPANESE[:40]}</div><div>{JAPANESE}</div><div>{JAPANESE[:40]}</div>", f"{JAPANESE[:40]}\n{JAPANESE}\n{JAPANESE[:40]}"),
+    (f"<div>{PROSE}</div><div>{JAPANESE}</div>", f"{PROSE.strip()}\n{JAPANESE}"),
+])
+def test_copyright_signs_and_other_languages(page, want):
+    assert html_extract.extract(page) == want
+
+
 def test_pages_of_the_table(spark, sf):
     """The table's articles, cut out by their known template."""
     import html
