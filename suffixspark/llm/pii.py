@@ -59,31 +59,54 @@ def _plain(c: str) -> str | None:
 
 
 _words = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_digit = rf"(?:(?:double|triple)[\s-]+)?(?:{_words}|[0-9])"
+#: Unoneun is read as un one un only: with uno neun too, words run together would have 2^n readings.
+_digit = rf"(?:(?:double|triple)[\s-]+)?(?:{_words.replace('|uno|', '|uno(?!neun)|')}|[0-9])"
 _at, _dot, _plus = "|".join(_AT_WORDS), "|".join(_DOT_WORDS), "|".join(_PLUS_WORDS)
 _open, _close = r"[\[({<]", r"[\])}>]"
 _name = r"[A-Za-z0-9-]+"
 #: White space from its start, or none: tried from each place in it, a long run would cost its square.
 _space = r"(?:(?<!\s)\s++)?"
+_starts: dict[str, str] = {}
+for _w in sorted({*_DIGIT_WORDS, "double", "triple", *_PLUS_WORDS}):
+    _starts[_w[0]] = _starts.get(_w[0], "") + _w[1]
+#: What each alternative of _DISGUISE starts with; elsewhere, none is tried.
+_start = rf"(?=[\[({{<&_*~@]|(?<!\s)\s++[\[({{<&@{''.join(sorted({w[0] for w in _AT_WORDS + _DOT_WORDS}))}]|(?<!\w)(?:[0-9]|{'|'.join(f'{c}[{rest}]' for c, rest in _starts.items())}))"
 #: Rewritten in ASCII by now. Groups: at sign, dot, run of digit words.
 _DISGUISE = re.compile(
-    rf"(?P<at>{_space}{_open}\s*(?:{_at}|@)\s*{_close}\s*|{_space}&(?:\#64|\#x40|commat);\s*|(?<=\w)[_*~]+(?:{_at})[_*~]+(?=\w)|(?<=\w)\s+(?:{_at})\s+(?={_name}(?:\s*{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|\s+(?:{_dot})\s+){_name})|(?<=\w)\s+@\s*(?={_name}\s*\.)|(?<=\w)\s*@\s+(?={_name}\s*\.))"
+    rf"{_start}(?:(?P<at>{_space}{_open}\s*(?:{_at}|@)\s*{_close}\s*|{_space}&(?:\#64|\#x40|commat);\s*|(?<=\w)[_*~]+(?:{_at})[_*~]+(?=\w)|(?<=\w)\s+(?:{_at})\s+(?={_name}(?:\s*{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|\s+(?:{_dot})\s+){_name})|(?<=\w)\s+@\s*(?={_name}\s*\.)|(?<=\w)\s*@\s+(?={_name}\s*\.))"
     rf"|(?P<dot>{_space}{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|{_space}&(?:\#46|\#x2e|period);\s*|(?<=\w)[_*~]+(?:{_dot})[_*~]+(?=\w)|(?<=\w)\s+(?:{_dot})\s+(?=\w))"
-    rf"|(?P<digits>(?<!\w)(?:(?:{_plus})\s+(?={_digit}))?(?:(?:{_digit})(?:\s*+(?:[-,.]\s*+)?+(?={_digit}(?!\w)))?)+(?!\w))",
+    rf"|(?P<digits>(?<!\w)(?:(?:{_plus})\s+(?={_digit}))?(?:(?:{_digit})(?:\s*+(?:[-,.]\s*+)?+(?={_digit}(?!\w)))?)+(?!\w)))",
     re.IGNORECASE,
 )
 _DIGIT_TOKEN = re.compile(rf"(?P<plus>{_plus})\s+|(?:(?P<times>double|triple)[\s-]+)?(?P<one>{_words}|[0-9])", re.IGNORECASE)
-#: A text with none of these in lower case, and with no odd character, holds no disguise.
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, as a tree of their letters."""
+    tree: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            tree.setdefault(w[0], []).append(w[1:])
+    found = "|".join(c + _any_of(rest) for c, rest in tree.items())
+    return f"(?:{found})?" if found and "" in words else f"(?:{found})" if found else ""
+
+
+_trigger = _any_of([*_DIGIT_WORDS, "double", "triple", *_PLUS_WORDS])
+#: Each match of _DISGUISE that is rewritten has a match of one of these in it, in lower case: the start of a
+#: run's first word in letters, a dot word between white space, or an at or dot that is bracketed, marked, written as an entity or spaced.
 _HINTS = tuple(
-    [a + w for a in "[({<" for w in (*_AT_WORDS, *_DOT_WORDS, "@", ".", " at", " dot", " @", " .")]
-    + ["&#64;", "&#x40;", "&commat;", "&#46;", "&#x2e;", "&period;"]
-    + [f" {w} " for w in _DOT_WORDS] + [a + w + a for a in "_*~" for w in _DOT_WORDS]
-    + [" @", "@ "] + [a + w + a for a in "_*~" for w in _AT_WORDS]
-)
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:{_words}|double|triple)[\s.,-]+){{3,}}", re.IGNORECASE)
-_SPELLED_HINTS = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", " one ", " six ", "null", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zéro", "deux", "trois", "quatre", "cinq", "huit", "neuf", "cero", " dos ", " tres ", "cuatro", "cinco", " seis ", "siete", "ocho", "nueve")
-#: Characters beyond Latin letters, which alone need a look one by one.
-_ODD_OR_LATIN1 = re.compile(r"[\xa0\xad\xb7]|[^\x00-˿]")
+    re.compile(x)
+    for x in (
+        rf"\b[0-9]*+{_trigger}(?:\b|[0-9]|{_trigger})",
+        rf"\s(?:{_dot})\s",
+        rf"{_open}\s*+(?:{_at}|{_dot}|[@.])",
+        rf"[_*~](?:{_at}|{_dot})[_*~]",
+        r"&(?:#64|#x40|commat|#46|#x2e|period);",
+        r"\s@|@\s",
+    )
+)
+#: Characters that may be odd, which need a look one by one: of the Latin letters below U+0300, only some.
+_MAYBE_ODD = re.compile(rf"[{''.join(c for c in map(chr, range(0x80, 0x300)) if _plain(c) is not None)}]|[^\x00-\u02ff]")
 
 
 def _digits(s: str) -> str:
@@ -159,7 +182,7 @@ class Mapped:
 
 def _look_alikes(text: str) -> Mapped | None:
     out, done = Mapped(), 0
-    for m in _ODD_OR_LATIN1.finditer(text):
+    for m in _MAYBE_ODD.finditer(text):
         plain = _plain(m.group())
         if plain is not None:
             out.add(text[done : m.start()], done, m.start(), True)
@@ -171,10 +194,14 @@ def _look_alikes(text: str) -> Mapped | None:
     return out
 
 
-def _written(text: str) -> Mapped | None:
-    low = text.lower()
-    spelled = any(h in low for h in _SPELLED_HINTS) and _SPELLED.search(text)
-    if not spelled and not any(h in low for h in _HINTS):
+def _may_hold(text: str) -> bool:
+    """Whether _DISGUISE may find something to rewrite; ignoring case, it takes a dotted capital and a dotless i for an i."""
+    low = text.replace("İ", "i").replace("ı", "i").lower()
+    return any(x.search(low) for x in _HINTS)
+
+
+def _written(text: str, gated: bool = True) -> Mapped | None:
+    if gated and not _may_hold(text):
         return None
     out, done = Mapped(), 0
     for m in _DISGUISE.finditer(text):

@@ -201,6 +201,45 @@ def test_long_runs_take_no_square_of_time(text):
     assert time.perf_counter() - begun < 10
 
 
+@pytest.mark.parametrize("text,kind", [
+    ("plus 4 four 9 nine 1 one 7 seven 2 two", "phone"),
+    ("card 4111 1111 1111 one one one one", "card"),
+    ("card 4one1one 1111 1111 one 111", "card"),
+    ("joſe@example.com", "email"),
+    ("joe [\tat ]  example (  dot\n) com", "email"),
+    ("joe_at*example~dot_com", "email"),
+])
+def test_disguises_stand_alone(text, kind):
+    """No other part of the text has to open the gate."""
+    got = pii.disguised(text, pii.detect(text))
+    assert [pii.KINDS[k] for _, k, _ in got] == [kind]
+    more = pii.disguised(text + " | user@ ", pii.detect(text + " | user@ "))
+    assert got == more
+
+
+def test_gate_leaves_nothing_out():
+    r = random.Random(7)
+    bits = [*pii._DIGIT_WORDS, *pii._AT_WORDS, *pii._DOT_WORDS, *pii._PLUS_WORDS, "double", "triple", "4", "49", "a", "joe", "com", "&#64;", "&period;", "ſ", "ı", "İ", *"[](){}<>_*~@.&;-,\n\t", *"    "]
+    some = 0
+    for _ in range(30_000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 9)))
+        text = text.upper() if r.random() < 0.3 else text
+        got, want = pii._written(text), pii._written(text, gated=False)
+        assert (got and (got.text(), got.at, got.source)) == (want and (want.text(), want.at, want.source)), text
+        some += want is not None
+    assert some > 1000
+
+
+def test_every_odd_character_is_looked_at():
+    assert [hex(c) for c in range(0x80, 0x110000) if pii._plain(chr(c)) is not None and not pii._MAYBE_ODD.match(chr(c))] == []
+
+
+def test_glued_words_take_no_power_of_time():
+    begun = time.perf_counter()
+    assert pii.disguised("unoneun" * 40 + "x", []) == []
+    assert time.perf_counter() - begun < 10
+
+
 def test_personal_data_rows(spark):
     rows = [(1, "a@b.co x 1.2.3.4 and j [at] k [dot] org"), (None, None), (2, ""), (2, "")]
     got = {(r["doc_id"], r["spans"]): r for r in pii.find_personal_data(with_extras(spark, rows)).collect()}
