@@ -19,6 +19,7 @@ from .common import materialise, whole_text
 
 WEIGHTS, SHARE, CAP, SEED, BUCKET_ROWS, FAN_IN, MOST_SOURCES = (5.0, 2.0, 1.0), 1.5, 2.0, 20, 100_000, 16, 1_000_000
 _WORDS = r"[^\x20\x09-\x0D]+"
+_SPACED_WORDS = r"[\x20\x09-\x0D]*" + _WORDS
 
 
 def n_words(column: str = "text"):
@@ -122,7 +123,7 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents, with the columns of ``docs``: each as often as it is taken, a share cut after its last word.
+    """The mixed documents, with the columns of ``docs``: each as often as it is taken, a share cut after its last word, with the white space before that as it is.
 
     Rows equal in doc_id, text and source are taken together. n_chars, where there is one, follows a cut text.
     """
@@ -132,7 +133,7 @@ def mix(docs: DataFrame) -> DataFrame:
     own = docs.withColumn("_hash", F.xxhash64(whole_text())).dropDuplicates(["doc_id", "_hash", "source"])
     both = own.join(taken, own.doc_id.eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_b")) & own.source.eqNullSafe(F.col("_s")))
     full, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(_WORDS), F.lit(0)), 1, rest), " ")
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(_SPACED_WORDS), F.lit(0)), 1, rest), "")
     each = F.concat(F.array_repeat(F.lit(True), full), F.when(rest > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
     out = both.select(*[c for c in both.columns], F.explode(each).alias("_full"))
     out = out.withColumn("text", F.when(F.col("_full"), F.col("text")).otherwise(part))

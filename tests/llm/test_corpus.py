@@ -175,6 +175,14 @@ def test_mixing(spark, sf, monkeypatch, bucket_rows):
     assert {r["source"]: r["w"] for r in mixed.groupBy("source").agg(F.sum(mixing.n_words()).alias("w")).collect()} == dict(taken)
 
 
+def test_a_share_keeps_its_white_space(spark):
+    text = " a  line\n\n\tof the\r\ntext \u00a0 é\n" * 50
+    mixed = mixing.mix(spark.createDataFrame([(1, text, "s"), (2, "x y\nz", "t"), (3, "x\ny " * 99, "u")], "doc_id long, text string, source string")).collect()
+    whole = {1: text, 2: "x y\nz", 3: "x\ny " * 99}
+    cut = [r for r in mixed if r["text"] != whole[r["doc_id"]]]
+    assert cut and all(whole[r["doc_id"]].startswith(r["text"]) for r in cut)
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, None), (None, "a b c", "s"), (2, "a", "t"), (2, "a", "t"), (4, "", "u")]
     got = mixing.copies(with_extras(spark, rows, "doc_id long, text string, source string")).collect()
