@@ -226,6 +226,49 @@ def test_packing(spark, sf):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("c", [" ", "\n", "\t", "\xa0", "a", "1", "-", "é", "日"])
+def test_tokens_of_long_runs(c):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    for text in (c * 10**6, c * 10**6 + "x", f"x{c * 5000} y{c * 5000}"):
+        assert encode(text) == exact.encode(text, add_special_tokens=False).ids
+    if c in " a":
+        assert len(encode(c * 10**7)) > 10**6
+
+
+@given(st.lists(st.sampled_from([" " * 5000, "\n" * 4096, "\t\xa0" * 3000, "word", " x", "9", "--", "日本", "<|endoftext|>", "'s", " \x1f", "\x85", " "]), max_size=8))
+@settings(max_examples=100, deadline=None)
+def test_tokens_of_mixed_runs(pieces):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "".join(pieces)
+    assert "".join(packing.parts(text, 20)) == text
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = exact.encode(text, add_special_tokens=False).ids
+    assert packing.encoder()(text) == want
+    assert [i for p in packing.parts(text, 20) for i in exact.encode(p, add_special_tokens=False).ids] == want
+
+
+def test_packing_of_repeated_rows_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HELD_PIECES", 64)
+    rows = [(None, "a b c")] * 500 + [(7, "d " * 300)] * 500 + [(8, " " * 1_500_000 + "x")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == 500 * 4 and sum(r["length"] for r in got if r["doc_id"] == 8) == next(r["doc_tokens"] for r in got if r["doc_id"] == 8)
+    assert sum(r["length"] for r in got if r["doc_id"] == 7) == sum(r["doc_tokens"] for r in got if r["doc_id"] == 7 and r["start"] == 0)
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in sequences.values():
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
+        assert at <= 1024
+
+
 def brute_nearest(rows, k=20):
     out = {}
     for q, v in rows:
