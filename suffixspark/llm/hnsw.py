@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph per shard.
 
-Vectors are dealt into shards by hash of vec_id. In a shard equal vectors are one node (with their smallest ids). An extra
-component makes all norms equal, so that the largest inner product is the smallest distance. Nodes are ordered
-by their random level, highest first, so each layer is a prefix of them; a layer is stored as one flat array of
-neighbour numbers, ``DEGREE`` a node (twice that in layer 0), -1 for none. Nodes join a layer in batches: a beam search of the
-graph so far, with the batch's own members added, proposes neighbours, and of those a node keeps the ones
-nearer to it than to a neighbour it already has. Searches run for a block of queries at once.
-Each shard's nearest are scored again in double precision on the original vectors, and merged.
+Vectors are dealt into shards by their norm's band (a factor of 2 wide) and, in a band, by hash of vec_id. In a shard
+equal vectors are one node (with their smallest ids). An extra component makes all norms equal, so that the largest inner
+product is the smallest distance; as norms in a shard are alike, that component never drowns the others, whatever
+outliers the table has. Nodes are ordered by their random level, highest first, so each layer is a prefix of
+them; a layer is stored as one flat array of neighbour numbers, ``DEGREE`` a node (twice that in layer 0), -1 for
+none. Nodes join a layer in batches: a beam search of the graph so far, with the batch's own members added, proposes
+neighbours, and of those a node keeps the ones nearer to it than to a neighbour it already has. Searches
+run for a block of queries at once. Each shard's nearest are scored again in double precision on the original
+vectors, and merged.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from . import rolling
 from .common import materialise
 
-SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, BATCH, QUERY_BLOCK, K = 16_384, 24, 80, 160, 512, 512, 20
+SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, BATCH, QUERY_BLOCK, GROUP_BLOCKS, K = 16_384, 24, 80, 320, 512, 512, 256, 20
+#: From here on, products of components may overflow in double precision.
+_LARGE = 1e150
 
 
 def _beam(x: np.ndarray, links: np.ndarray, n: int, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +163,21 @@ def build(x: np.ndarray, seed: int = 10) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def same_norm(x: np.ndarray) -> np.ndarray:
     """float32 vectors with one more component that makes all norms equal; scaled to norm 1."""
-    norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
-    top = max(norm.max(initial=0), 1e-300)
+    x = x / max(np.abs(x).max(initial=0), np.finfo(np.float64).tiny)
+    norm = np.sqrt((x**2).sum(axis=1))
+    top = max(norm.max(initial=0), np.finfo(np.float64).tiny)
     return np.concatenate([x / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))[:, None]], axis=1).astype(np.float32)
 
 
-def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows of x with q in double precision; those beyond its range are infinite."""
+    if max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) < _LARGE:
+        return (x * q).sum(axis=1)
+    with np.errstate(over="ignore"):
+        return (x.astype(np.longdouble) * q).sum(axis=1).astype(np.float64)
+
+
+def _index_rows(k: int):
     """Rows sorted by shard: a row per shard with its vectors, members of equal vectors and flat neighbour arrays."""
 
     def solve(shard: int, ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:
@@ -181,64 +194,65 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.empty_like(by)
         place[by] = np.arange(len(by))
         node, x = place[node], np.ascontiguousarray(x[by])
-        # Of equal vectors only the K + 1 smallest ids can be among K nearest.
+        # Of equal vectors only the k + 1 smallest ids can be among k nearest.
         member = np.argsort(node, kind="stable")
         count = np.bincount(node, minlength=len(x))
         turn_in = np.arange(len(member)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        member = member[turn_in <= K]
+        member = member[turn_in <= k]
         return pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int64()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([ids_[member].tobytes()], pa.binary()), pa.array([node[member].astype(np.int64).tobytes()], pa.binary()), pa.array([[a.tobytes() for a in layers]], pa.list_(pa.binary()))],
             ["shard", "dim", "vectors", "ids", "nodes", "layers"],
         )
 
-    shard, ids, vectors = None, [], []
-    for batch in batches:
-        values = batch.column("vector")
-        for s, i, v in zip(batch.column("shard").to_pylist(), batch.column("vec_id").to_pylist(), values, strict=True):
-            if s != shard and ids:
-                yield solve(shard, ids, vectors)
-                ids, vectors = [], []
-            shard = s
-            ids.append(i)
-            vectors.append(v.values.to_numpy(zero_copy_only=False))
-    if ids:
-        yield solve(shard, ids, vectors)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids, vectors = None, [], []
+        for batch in batches:
+            values = batch.column("vector")
+            for s, i, v in zip(batch.column("shard").to_pylist(), batch.column("vec_id").to_pylist(), values, strict=True):
+                if s != shard and ids:
+                    yield solve(shard, ids, vectors)
+                    ids, vectors = [], []
+                shard = s
+                ids.append(i)
+                vectors.append(v.values.to_numpy(zero_copy_only=False))
+        if ids:
+            yield solve(shard, ids, vectors)
 
+    return run
 
-def search(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, width: int) -> np.ndarray:
-    """Nodes found for each row of q, -1 beyond the found. x are the nodes' vectors (float64) as indexed."""
-    n = len(x)
+
+def search(y: np.ndarray, layers: list[np.ndarray], q: np.ndarray, width: int) -> np.ndarray:
+    """Nodes found for each row of q, -1 beyond the found; y are the nodes' vectors as ``same_norm`` makes them."""
+    n = len(y)
     if n <= width:
         return np.broadcast_to(np.arange(n), (len(q), n))
-    y = same_norm(x)
-    norm = np.maximum(np.sqrt((q**2).sum(axis=1)), 1e-300)
-    p = np.concatenate([q / norm[:, None], np.zeros((len(q), 1))], axis=1).astype(np.float32)
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    p = np.concatenate([q / np.sqrt((q**2).sum(axis=1))[:, None], np.zeros((len(q), 1))], axis=1).astype(np.float32)
     return _beam(y, layers[-1], n, p, _descend(y, layers[:-1], p, n), width)[0]
 
 
 def _search_rows(k: int, width: int):
+    """Rows sorted by (shard, group, role): a shard's index, then blocks of queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph = None, None
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: batch.column(c)[r] for c in batch.schema.names}
-                shard = row["shard"].as_py()
-                if shard != last:
+                if row["role"].as_py() == 0:
                     x = np.frombuffer(row["vectors"].as_buffer(), np.float64).reshape(-1, row["dim"].as_py())
                     layers = [np.frombuffer(a.as_buffer(), np.int32) for a in row["layers"]]
                     sizes = [len(a) // (DEGREE if i < len(layers) - 1 else 2 * DEGREE) for i, a in enumerate(layers)]
                     layers = [a.reshape(m, -1) for a, m in zip(layers, sizes, strict=True)]
                     ids, nodes = np.frombuffer(row["ids"].as_buffer(), np.int64), np.frombuffer(row["nodes"].as_buffer(), np.int64)
-                    bound = np.searchsorted(nodes, np.arange(len(x) + 1))
-                    last, graph = shard, (x, layers, ids, bound)
-                x, layers, ids, bound = graph
-                query_ids = row["query_ids"].values.to_numpy(zero_copy_only=False)
-                q = row["queries"].values.flatten().to_numpy(zero_copy_only=False).reshape(len(query_ids), -1)
-                found = search(x, layers, q, width)
+                    bound, y = np.searchsorted(nodes, np.arange(len(x) + 1)), same_norm(x)
+                    continue
+                query_ids = np.frombuffer(row["ids"].as_buffer(), np.int64)
+                q = np.frombuffer(row["vectors"].as_buffer(), np.float64).reshape(len(query_ids), -1)
+                found = search(y, layers, q, width)
                 out_q, out_v, out_s = [], [], []
                 for i, query in enumerate(query_ids.tolist()):
                     at = found[i][found[i] >= 0]
-                    s = (x[at] * q[i]).sum(axis=1)
+                    s = products(x[at], q[i])
                     # k + 1 nodes hold k candidates at least, the query's own left out.
                     best = np.lexsort((ids[bound[at]], -s))
                     cut = min(len(best), k + 1)
@@ -253,6 +267,33 @@ def _search_rows(k: int, width: int):
     return run
 
 
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (dim, block): a row per block with its query ids and vectors, concatenated."""
+
+    def joined(key: tuple[int, int], ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(vectors).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["dim", "block", "ids", "vectors"])
+
+    key, ids, vectors = None, [], []
+    for batch in batches:
+        for dim, block, i, v in zip(batch.column("dim").to_pylist(), batch.column("block").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("vector"), strict=True):
+            if (dim, block) != key and ids:
+                yield joined(key, ids, vectors)
+                ids, vectors = [], []
+            key = (dim, block)
+            ids.append(i)
+            vectors.append(v.values.to_numpy(zero_copy_only=False))
+    if ids:
+        yield joined(key, ids, vectors)
+
+
+def norm_band(v):
+    """The binary logarithm of a vector's norm, to the nearest whole number; the components are scaled, so nothing overflows."""
+    top = F.array_max(F.transform(v, F.abs))
+    squares = F.aggregate(v, F.lit(0.0), lambda total, c: total + (c / top) * (c / top))
+    return F.round(F.log2(top) + F.log2(squares) / 2).cast("int")
+
+
 def usable(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
     """vec_id, vector (array of double) of the rows that take part, one a vec_id (of several, the smallest vector)."""
     v = F.col("vector")
@@ -261,37 +302,42 @@ def usable(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.where(fit).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def build_index(embeddings: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+def build_index(embeddings: DataFrame, shard_rows: int = SHARD_ROWS, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(vectors, index): the rows that take part with their dim, and a row per shard. Every such row is indexed.
 
-    Vectors of one length are compared with each other only; shards are made for each length.
+    Vectors of one length are compared with each other only; shards are made for each length and band of norms. Searches
+    for up to ``k`` neighbours are served.
     """
-    rows = materialise(usable(embeddings).withColumn("dim", F.size("vector")))
-    per = {r["dim"]: -(-r["count"] // shard_rows) for r in rows.groupBy("dim").count().collect()}
-    shards = F.lit(1)
-    for dim, n in per.items():
-        shards = F.when(F.col("dim") == dim, F.lit(n)).otherwise(shards)
-    # A shard's number holds its dim and its hash bucket.
-    dealt = rows.withColumn("shard", F.col("dim").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), shards))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard")
-    index = materialise(dealt.select("shard", "vec_id", "vector").mapInArrow(_index_rows, "shard long, dim int, vectors binary, ids binary, nodes binary, layers array<binary>"))
+    rows = materialise(usable(embeddings).withColumn("dim", F.size("vector")).withColumn("band", norm_band(F.col("vector"))))
+    per = rows.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))
+    # A shard's number holds its dim, its band (of 11 bits and a sign) and its hash bucket.
+    number = F.col("dim").cast("long") * (1 << 36) + (F.col("band") + 2048).cast("long") * (1 << 24) + F.pmod(F.xxhash64("vec_id"), F.col("shards"))
+    dealt = rows.join(per, ["dim", "band"]).select(number.alias("shard"), "vec_id", "vector").repartition("shard").sortWithinPartitions("shard")
+    index = materialise(dealt.mapInArrow(_index_rows(k), "shard long, dim int, vectors binary, ids binary, nodes binary, layers array<binary>"))
     return rows, index
 
 
-def nearest(embeddings: DataFrame, every: int = 20, k: int = K, width: int = SEARCH_BEAM) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int = 20, k: int = K, width: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, the rows whose vec_id is divisible by ``every``.
 
     Nearness is the largest inner product in double precision, ties go to the smaller vec_id, and a query's own
-    row is no candidate. Vectors null, empty, zero, or with null or non-finite components take no part, nor
-    does a null vec_id; rows of one vec_id count once; fewer candidates give fewer rows; an empty table gives none.
-    Queries go to the shards in blocks.
+    row is no candidate. Of the true k nearest about 99 % are found (measured; see the README); what is returned has its exact
+    score. Vectors null, empty, zero, or with null or non-finite components take no part, nor does a null vec_id; rows of one
+    vec_id count once; fewer candidates give fewer rows; an empty table gives none. A product beyond the range of a
+    double is infinite. Queries go to the shards in blocks; a shard's index is sent once for each GROUP_BLOCKS blocks.
     """
-    rows, index = build_index(embeddings)
+    rows, index = build_index(embeddings, shard_rows, k)
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = queries.groupBy("dim", F.floor(F.col("vec_id") / (QUERY_BLOCK * every)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("own"))
-    blocks = blocks.select("dim", F.col("own.vec_id").alias("query_ids"), F.col("own.vector").alias("queries"))
+    per = queries.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("long").alias("blocks"))
+    dealt = queries.join(per, "dim").select("dim", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("blocks")).alias("block"), "vec_id", "vector")
+    blocks = materialise(dealt.repartition("dim", "block").sortWithinPartitions("dim", "block").mapInArrow(_block_rows, "dim int, block long, ids binary, vectors binary"))
+    shards = index.select("shard", "dim")
+    none = F.lit(None).cast("array<binary>")
     # A query has to meet each shard of its dim: that's the stated query set against all rows, in blocks.
-    met = index.select("shard", "dim").join(blocks, "dim").drop("dim").repartition("shard")
-    found = index.join(met, "shard").select("shard", "dim", "vectors", "ids", "nodes", "layers", "query_ids", "queries").mapInArrow(_search_rows(k, width), "query_id long, vec_id long, score double")
+    asked = blocks.join(shards, "dim").select("shard", (F.col("block") / GROUP_BLOCKS).cast("long").alias("group"), F.lit(1).alias("role"), "dim", "vectors", "ids", F.lit(None).cast("binary").alias("nodes"), none.alias("layers"))
+    groups = per.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("blocks") - 1) / GROUP_BLOCKS).cast("long"))).alias("group"))
+    sent = index.join(groups, "dim").select("shard", "group", F.lit(0).alias("role"), "dim", "vectors", "ids", "nodes", "layers")
+    met = sent.unionByName(asked).repartition("shard", "group").sortWithinPartitions("shard", "group", "role")
+    found = met.mapInArrow(_search_rows(k, width), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

