@@ -2,7 +2,8 @@
 
 ``prefix(data)`` gives P with P[i] = sum of table[data[j]] * B**j over j < i, modulo 2**64; the hash of
 ``data[s:e]`` is ``(P[e] - P[s]) * B**-s`` followed by a bit mixer, and so depends on the content alone.
-B is odd, hence invertible; the 256 table values come from splitmix64.
+B is odd, hence invertible; the 256 table values come from splitmix64. There are two such hashes, numbered 0 and 1, of
+different bases and tables; both together are a name of 128 bits.
 """
 
 from __future__ import annotations
@@ -10,9 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_MASK = (1 << 64) - 1
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def splitmix64(n: int, seed: int = 0) -> np.ndarray:
@@ -24,21 +23,22 @@ def splitmix64(n: int, seed: int = 0) -> np.ndarray:
         return z ^ (z >> _U(31))
 
 
-TABLE = splitmix64(256, 7)
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+_TABLES = tuple(splitmix64(256, seed) for seed in (7, 8))
+#: For each hash, powers of its base and of the base's inverse.
+_powers: list[list[np.ndarray]] = [[np.ones(1, _U), np.ones(1, _U)] for _ in _BASES]
 
 
-def _grow(n: int) -> None:
+def _grow(n: int, kind: int) -> None:
     size = 1 << max(10, int(n - 1).bit_length())
-    if len(_powers[0]) >= n:
+    if len(_powers[kind][0]) >= n:
         return
     with np.errstate(over="ignore"):
-        for k, b in enumerate((_BASE, _INVERSE)):
+        for k, b in enumerate((_BASES[kind], pow(_BASES[kind], -1, 1 << 64))):
             out, step = np.ones(size, _U), 1
             while step < size:
                 out[step : 2 * step] = out[:step] * _U(pow(b, step, 1 << 64))
                 step *= 2
-            _powers[k] = out
+            _powers[kind][k] = out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,19 +52,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
+def prefix(data: np.ndarray, kind: int = 0) -> np.ndarray:
     """Prefix sums of a uint8 array, one longer than it."""
-    _grow(len(data) + 1)
+    _grow(len(data) + 1, kind)
     out = np.zeros(len(data) + 1, _U)
     with np.errstate(over="ignore"):
-        np.cumsum(TABLE[data] * _powers[0][: len(data)], out=out[1:])
+        np.cumsum(_TABLES[kind][data] * _powers[kind][0][: len(data)], out=out[1:])
     return out
 
 
-def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
     """Hashes of data[start:end], uint64."""
     with np.errstate(over="ignore"):
-        return mix((p[end] - p[start]) * _powers[1][start])
+        return mix((p[end] - p[start]) * _powers[kind][1][start])
 
 
 def gram_hash(p: np.ndarray, k: int) -> np.ndarray:
@@ -73,4 +73,4 @@ def gram_hash(p: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, _U)
     with np.errstate(over="ignore"):
-        return mix((p[k:] - p[:n]) * _powers[1][:n])
+        return mix((p[k:] - p[:n]) * _powers[0][1][:n])

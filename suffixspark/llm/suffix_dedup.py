@@ -1,20 +1,21 @@
-"""Exact removal of long repeated byte strings.
-
-1. *Anchors*. A window of ``length`` bytes is anchored at its leftmost smallest k-byte hash (k = 0.32 of it), so
-   equal windows have equal anchors at equal offsets. Consecutive windows with one anchor make a span. Only
-   spans whose anchor hash occurs more than once can hold a repeated window: the rest of the text, which is
-   unique, drops out here, and nothing that repeats can.
-2. *Names*. Spans equal as a whole (same anchor hash and span hash) are repeated in all their windows. One of
-   each is kept for the next step.
-3. *Difference cover*. Different spans of one anchor hash are bucketed by it, and each bucket's text is suffix-sorted
-   by ``difference_cover``: sampled triples, recursion on names, merge, and comparison of adjacent prefixes.
-   An anchor with over ``hot_group`` different spans would be an unbounded bucket; its windows are
-   counted one by one under two 64-bit hashes instead, which spreads them over all tasks.
-
-Joins by anchor, span or window look each key's row count up first: keys with over 1/HEAVY of the rows, fewer than HEAVY
+"""Exact removal of long repeated byte strings by difference-cover suffix sorting.
+
+1. *Anchors* deal the text into buckets. A window of ``length`` bytes is anchored at its leftmost smallest k-byte hash
+   (k = 0.32 of it), so equal windows have equal anchors at equal offsets. Consecutive windows with one anchor make
+   a span. Only spans whose anchor hash occurs more than once can hold a repeated window: the rest of the
+   text, which is unique, drops out here, and nothing that repeats can.
+2. *Names*. Spans equal as a whole (same anchor hash, same 128-bit hash) are one name with a count; its text is fetched
+   once, whatever the count.
+3. *Difference cover*. All names of an anchor hash are in one bucket, a name that counts more than once with its text
+   twice. Each bucket's text is suffix-sorted by ``difference_cover``: sampled triples, recursion on names, merge,
+   and comparison of adjacent prefixes. That finds the repeated windows of a name, and all spans of the name have them.
+   An anchor with over ``hot_group`` different spans would be an unbounded bucket: its spans are cut into
+   single windows, which are named, counted, bucketed and sorted in the same way; each needs to meet its equals only.
+
+Joins by anchor or name look each key's row count up first: keys with over 1/HEAVY of the rows, fewer than HEAVY
 of them, are dealt out by salt, so no passage, however common, lands in one task.
 
-All shuffled rows but the bucketed spans are a few integers wide; the text itself is dealt out once by document
+All shuffled rows but the bucketed names are a few integers wide; the text itself is dealt out once by document
 (both joins reuse that exchange).
 """
 
@@ -33,14 +34,17 @@ from .common import CHUNK, as_int64, buffers, chunks, materialise, whole_text
 from .difference_cover import repeated_windows
 
 LENGTH = 200
-HOT_GROUP = 4096
+#: A span's name: hash of its anchor, two hashes of all of it.
+NAME = ("h", "g", "g2")
+_KINDS = "h long, g long, g2 long"
+HOT_GROUP = 2048
 HEAVY = 4096
 #: Bits of an anchor's key that hold its place in the chunk.
 _PLACE = 21
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of a chunk of documents: document, start in it, number of windows, anchor hash and span hash of each span."""
+    """Of a chunk of documents: document, start in it, number of windows, and name of each span."""
     k = max(1, length * 8 // 25)
     width = length - k + 1
     p = rolling.prefix(data)
@@ -61,7 +65,8 @@ def _spans(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     change[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     a = np.flatnonzero(change)
     n = np.diff(np.append(a, total))
-    return doc[a], start[a] - first[doc[a]], n, grams[anchor[a]], rolling.span_hash(p, start[a], start[a] + n + length - 1)
+    from_, to = start[a], start[a] + n + length - 1
+    return doc[a], from_ - first[doc[a]], n, grams[anchor[a]], rolling.span_hash(p, from_, to), rolling.span_hash(rolling.prefix(data, 1), from_, to, 1)
 
 
 def _span_rows(length: int):
@@ -76,39 +81,47 @@ def _span_rows(length: int):
                 for c in range(a, max(a + 1, b - length + 1), step) if b - a > limit else [a]:
                     end = min(b, c + limit - 1) if b - a > limit else b
                     own = np.array([c, end], np.int64) - c if b - a > limit else offsets[i : j + 1] - a
-                    doc, start, n, h, g = _spans(data[c:end], own, length)
+                    doc, start, n, *name = _spans(data[c:end], own, length)
                     doc, start = doc + i, start + (c - a)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(doc)), batch.column("body_hash").take(pa.array(doc)), as_int64(start), pa.array(n, pa.int32()), as_int64(h), as_int64(g)],
-                        ["doc_id", "body_hash", "start", "n", "h", "g"],
+                        [batch.column("doc_id").take(pa.array(doc)), batch.column("body_hash").take(pa.array(doc)), as_int64(start), pa.array(n, pa.int32()), *map(as_int64, name)],
+                        ["doc_id", "body_hash", "start", "n", *NAME],
                     )
 
     return run
 
 
 def _bucket_rows(length: int, flush: int = 1 << 19):
-    """Rows come sorted by h; whole groups are sorted together until a batch of ``flush`` bytes is full."""
-
-    def solve(rows: list[dict]) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for row, hit in zip(rows, repeated_windows([r["body"] for r in rows], length), strict=True):
-            if row["done"] or not hit.any():
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            out += [(row["doc_id"], row["body_hash"], row["start"] + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], ["doc_id", "body_hash", "start", "n"])
+    """Rows sorted by name; whole groups of an anchor are sorted together until a batch of ``flush`` bytes is full.
+
+    A row for each name with repeated windows: its runs of them, as pairs of offset and number, one after the other."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        texts = [r[-1] for r in rows]
+        # A name that counts more than once has its text there twice.
+        hits = repeated_windows(texts + [r[-1] for r in rows if r[3] > 1], length)
+        names, runs = [], []
+        for row, hit in zip(rows, hits, strict=False):
+            if hit.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+                edge[1::2] -= edge[::2]
+                names.append(row[:4])
+                runs.append(edge.tolist())
+        cols = list(zip(*names, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(runs, pa.list_(pa.int32()))], [*NAME, "c", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if size >= flush and held[-1]["h"] != row["h"]:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*NAME, "c", "body")), strict=True):
+                if held and held[-1][:3] == row[:3]:
+                    continue  # fetched from each of several equal rows
+                if size >= flush and held[-1][0] != row[0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row["body"])
+                size += len(row[-1]) * (2 if row[3] > 1 else 1)
         if held:
             yield solve(held)
 
@@ -119,14 +132,14 @@ def _cut_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, digests = [], [], [], []
-            for body, starts, ns in zip(batch.column("body").to_pylist(), batch.column("starts"), batch.column("ns"), strict=True):
+            for body, runs in zip(batch.column("body").to_pylist(), batch.column("runs"), strict=True):
                 n = len(body)
                 sizes.append(n)
-                if not starts.is_valid or not len(starts):
+                if not runs.is_valid or not len(runs):
                     removed.append(0), spans.append(0), digests.append(hashlib.sha256(body).hexdigest())
                     continue
-                a = starts.values.to_numpy(zero_copy_only=False)
-                e = a + ns.values.to_numpy(zero_copy_only=False) + length - 1
+                a = runs.values.field("start").to_numpy(zero_copy_only=False)
+                e = a + runs.values.field("n").to_numpy(zero_copy_only=False) + length - 1
                 order = np.argsort(a, kind="stable")
                 a, e = a[order], np.maximum.accumulate(e[order])
                 new = np.ones(len(a), bool)
@@ -159,38 +172,57 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(whole_text()).alias("body_hash"), whole_text().cast("binary").alias("body"))
 
 
-def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join of rows (doc_id, start, ...) with keys: written, one row for each key, ``weight`` its number of rows.
+def _with_keys(rows: DataFrame, keys: DataFrame, on: tuple[str, ...], weight: str, salt: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
+    """Inner join of rows with keys: written, one row for each key, ``weight`` its number of rows.
 
-    A key with over 1/HEAVY of all weight has its rows dealt to as many salts as keep each under that share. There are
-    under HEAVY such keys, whatever the input, so they are broadcast; and at most 2 * HEAVY salts.
+    A key with over 1/HEAVY of all weight has its rows dealt, by hash of ``salt``, to as many salts as keep each under that
+    share. There are under HEAVY such keys, whatever the input, so they are broadcast; and at most 2 * HEAVY salts.
     """
     share = (keys.agg(F.sum(weight)).first()[0] or 0) / HEAVY
     heavy = keys.where(F.col(weight) > share).where(F.col(weight) > HEAVY).select(*on, F.ceil(F.col(weight) / max(share, 1)).cast("int").alias("_salts"))
-    dealt = rows.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
-    each = keys.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    dealt = rows.join(F.broadcast(heavy), [*on], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    each = keys.join(F.broadcast(heavy), [*on], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(each, [*on, "_salt"]).drop("_salt")
 
 
+def _sorted_runs(names: DataFrame, length: int) -> DataFrame:
+    """(name, c, runs) of names (name, c, body) with repeated windows, by difference cover in the buckets of h."""
+    dealt = names.select(*NAME, "c", "body").repartition("h").sortWithinPartitions(*NAME)
+    return dealt.mapInArrow(_bucket_rows(length), f"{_KINDS}, c long, runs array<int>")
+
+
+def _hot_runs(names: DataFrame, length: int) -> DataFrame:
+    """The same for names of hot anchors: each window of them is a name of its own."""
+    window = lambda o: F.substring(F.col("body"), o + 1, F.lit(length))
+    each = F.transform(F.sequence(F.lit(0), F.length("body") - length), lambda o: F.struct(o.alias("o"), F.xxhash64(window(o)).alias("w1"), F.xxhash64(F.lit(1), window(o)).alias("w2")))
+    windows = names.select(*NAME, "c", F.explode(each).alias("w")).select(*NAME, "c", "w.*")
+    often = windows.groupBy("w1", "w2").agg(F.sum("c").alias("k"), F.min(F.struct(*NAME, "o")).alias("at")).where("k > 1")
+    often = materialise(often)
+    wanted = often.groupBy(*(F.col(f"at.{x}") for x in NAME)).agg(F.collect_list(F.struct(F.col("at.o").alias("o"), "w1", "w2", "k")).alias("ws"))
+    own = names.select(*NAME, "body").join(wanted, [*NAME])
+    texts = own.select(F.explode(F.transform("ws", lambda x: F.struct(x.w1.alias("h"), x.w2.alias("g"), F.lit(0).cast("long").alias("g2"), x.k.alias("c"), window(x.o).alias("body")))).alias("x")).select("x.*")
+    found = materialise(_sorted_runs(texts, length).select(F.col("h").alias("w1"), F.col("g").alias("w2"), F.col("c").alias("k")))
+    hits = _with_keys(windows, found, ("w1", "w2"), "k", (*NAME, "o"))
+    return hits.groupBy(*NAME).agg(F.max("c").alias("c"), F.flatten(F.collect_set(F.array("o", F.lit(1)))).alias("runs"))
+
+
 def _runs(bodies: DataFrame, length: int, hot_group: int) -> DataFrame:
-    spans = bodies.mapInArrow(_span_rows(length), "doc_id long, body_hash long, start long, n int, h long, g long")
+    spans = bodies.mapInArrow(_span_rows(length), f"doc_id long, body_hash long, start long, n int, {_KINDS}")
     twice = materialise(spans.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
-    spans = materialise(_with_keys(spans, twice, ["h"], "k").select("doc_id", "body_hash", "start", "n", "h", "g"))
-    named = materialise(spans.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "body_hash", "start", "n")).alias("at")))
-    whole = _with_keys(spans, named.where("c > 1").select("h", "g", "c"), ["h", "g"], "c").select("doc_id", "body_hash", "start", "n")
-    groups = materialise(named.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
-    mixed = _with_keys(named.select("h", "c", "at", "at.doc_id", "at.start"), groups, ["h"], "m").select(F.col("at.doc_id").alias("d"), F.col("at.body_hash").alias("b"), F.struct("h", "at.start", "at.n", (F.col("c") > 1).alias("done"), (F.col("m") > hot_group).alias("hot")).alias("span"))
-    mixed = mixed.groupBy("d", "b").agg(F.collect_list("span").alias("spans"))
-    cut = bodies.join(mixed, bodies.doc_id.eqNullSafe(mixed.d) & bodies.body_hash.eqNullSafe(mixed.b))
-    cut = cut.select("doc_id", "body_hash", F.explode(F.transform("spans", lambda s: F.struct(s.h.alias("h"), s.start.alias("start"), s.n.alias("n"), s.done.alias("done"), s.hot.alias("hot"), F.substring(F.col("body"), s.start.cast("int") + 1, s.n + (length - 1)).alias("body")))).alias("s")).select("doc_id", "body_hash", "s.*")
-    # Two rows of one doc_id and text would both answer for the one span asked for.
-    cut = materialise(cut.dropDuplicates(["doc_id", "body_hash", "start", "h"]))
-    sorted_runs = cut.where("not hot").select("h", "doc_id", "body_hash", "start", "done", "body").repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_rows(length), "doc_id long, body_hash long, start long, n int")
-    windows = cut.where("hot").select("doc_id", "body_hash", "done", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(o.alias("o"), F.substring(F.col("body"), o + 1, F.lit(length)).alias("w")))).alias("i", "x"), "start", "h")
-    windows = windows.select("doc_id", "body_hash", "done", (F.col("start") + F.col("x.o")).alias("start"), F.xxhash64("x.w").alias("w1"), F.xxhash64("h", "x.w").alias("w2"))
-    often = materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1"))
-    counted = _with_keys(windows.where("not done"), often, ["w1", "w2"], "k").select("doc_id", "body_hash", "start", F.lit(1).alias("n"))
-    return whole.unionByName(sorted_runs).unionByName(counted)
+    spans = materialise(_with_keys(spans, twice, ("h",), "k").select("doc_id", "body_hash", "start", "n", *NAME))
+    named = materialise(spans.groupBy(*NAME).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "body_hash", "start", "n")).alias("at")))
+    groups = materialise(named.groupBy("h").agg(F.count("*").alias("m")))
+    wanted = _with_keys(named.select(*NAME, "c", "at"), groups, ("h",), "m", ("g",)).select(F.col("at.doc_id").alias("d"), F.col("at.body_hash").alias("b"), F.struct(*NAME, "c", "at.start", "at.n", (F.col("m") > hot_group).alias("hot")).alias("span"))
+    wanted = wanted.groupBy("d", "b").agg(F.collect_list("span").alias("spans"))
+    cut = bodies.join(wanted, bodies.doc_id.eqNullSafe(wanted.d) & bodies.body_hash.eqNullSafe(wanted.b))
+    fields = lambda s: [s[x].alias(x) for x in (*NAME, "c", "hot")]
+    cut = materialise(cut.select(F.explode(F.transform("spans", lambda s: F.struct(*fields(s), F.substring(F.col("body"), s.start.cast("int") + 1, s.n + (length - 1)).alias("body")))).alias("s")).select("s.*"))
+    found = _sorted_runs(cut.where("not hot"), length)
+    if not groups.where(F.col("m") > hot_group).isEmpty():
+        found = found.unionByName(_hot_runs(cut.where("hot"), length))
+    found = materialise(found)
+    pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct((F.col("start") + F.get("runs", i)).alias("start"), F.get("runs", i + 1).alias("n")))
+    return _with_keys(spans.drop("n"), found, NAME, "c").select("doc_id", "body_hash", F.explode(pairs).alias("run")).select("doc_id", "body_hash", "run.*")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP) -> DataFrame:
@@ -198,9 +230,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_G
 
     Removed is each byte covered by a ``length``-byte string that starts anywhere else too, in any document or the
     same one, judged on the input. Null and empty texts give 0, 0, 0 and the digest of nothing; an
-    empty table gives no rows; other columns of ``docs`` are ignored; repeated rows each get a row.
+    empty table gives no rows; other columns of ``docs`` are ignored; repeated rows each get a row, and count as
+    copies of each other.
     """
     bodies = _bodies(docs)
-    runs = _runs(bodies, length, hot_group).groupBy(F.col("doc_id").alias("d"), F.col("body_hash").alias("b")).agg(F.collect_list("start").alias("starts"), F.collect_list(F.col("n").cast("long")).alias("ns"))
-    both = bodies.join(runs, bodies.doc_id.eqNullSafe(runs.d) & bodies.body_hash.eqNullSafe(runs.b), "left").select("doc_id", "body", "starts", "ns")
+    # Equal rows of one doc_id answer for each other, so each of their runs is kept once.
+    runs = _runs(bodies, length, hot_group).groupBy(F.col("doc_id").alias("d"), F.col("body_hash").alias("b")).agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    both = bodies.join(runs, bodies.doc_id.eqNullSafe(runs.d) & bodies.body_hash.eqNullSafe(runs.b), "left").select("doc_id", "body", "runs")
     return both.mapInArrow(_cut_rows(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

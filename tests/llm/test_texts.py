@@ -308,3 +308,16 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
     odd = quality_fm.score(with_extras(spark, [(1, None), (None, ""), (2, "a"), (2, "a")]), model).collect()
     assert len(odd) == 4 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in odd) and not any(r["held_out"] for r in odd if r["doc_id"] is None)
+
+
+def test_repeats_of_equal_rows(spark):
+    """k rows of one doc_id and text are copies of each other, at a cost of k."""
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh ") for _ in range(600))
+    rows = [(1, text)] * 300 + [(2, "".join(r.choice("xyz ") for _ in range(400))), (3, text[100:450]), (None, "q" * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = suffix_dedup._runs(suffix_dedup._bodies(docs), 200, 2048)
+    per = runs.where("doc_id = 1").count()
+    assert per <= 300 * 40  # a few runs a row, not a few for each pair of rows
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {1: (600, 1), 2: (0, 0), 3: (350, 1), None: (0, 0)}
