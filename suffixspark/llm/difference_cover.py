@@ -30,7 +30,7 @@ def _sort(s: np.ndarray, k: int, depth: int) -> np.ndarray:
     ones, twos = np.arange(1, 3 * n0, 3) if n0 > n1 else np.arange(1, n, 3), np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
     keys = (t[sample] * k + t[sample + 1]) * k + t[sample + 2]
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_keys = keys[order]
     new = np.concatenate([[1], (sorted_keys[1:] != sorted_keys[:-1]).astype(np.int64)])
     named = np.cumsum(new)
@@ -44,28 +44,17 @@ def _sort(s: np.ndarray, k: int, depth: int) -> np.ndarray:
     by_rank = by_rank[by_rank < n]
 
     zeros = np.arange(0, n, 3)
-    zeros = zeros[np.argsort(t[zeros] * (n + 4) + rank[zeros + 1], kind="stable")]
-    # For each suffix 0 mod 3, by bisection, how many sample suffixes come before it.
-    low, high = np.zeros(len(zeros), np.int64), np.full(len(zeros), len(by_rank), np.int64)
-    z0, z1, r1, r2 = t[zeros], t[zeros + 1], rank[zeros + 1], rank[zeros + 2]
+    zeros = zeros[np.argsort(t[zeros] * (n + 4) + rank[zeros + 1])]
+    # For each suffix 0 mod 3, how many sample suffixes come before it: those 1 mod 3 compare by one character and the rank
+    # after it, those 2 mod 3 by two and the rank after them.
     width = n + 5
-    near = z0 * width + r1
-    far = (z0 * k + z1) * width + r2 if k * k * width < 2**62 else None
-    sample_key = t[by_rank] * width + rank[by_rank + 1]
-    two = by_rank % 3 == 2
-    if far is not None:
-        sample_key = np.where(two, (t[by_rank] * k + t[by_rank + 1]) * width + rank[by_rank + 2], sample_key)
-    for _ in range(int(len(by_rank)).bit_length()):
-        open_ = low < high
-        mid = np.minimum((low + high) >> 1, len(by_rank) - 1)
-        if far is not None:
-            less = sample_key[mid] < np.where(two[mid], far, near)
-        else:
-            j = by_rank[mid]
-            b0, b1, q = t[j], t[j + 1], rank[j + 2]
-            less = np.where(two[mid], (b0 < z0) | ((b0 == z0) & ((b1 < z1) | ((b1 == z1) & (q < r2)))), sample_key[mid] < near)
-        low = np.where(open_ & less, mid + 1, low)
-        high = np.where(open_ & ~less, mid, high)
+    one, two = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
+    low = np.searchsorted(t[one] * width + rank[one + 1], t[zeros] * width + rank[zeros + 1])
+    pairs, pairs0 = t[two] * k + t[two + 1], t[zeros] * k + t[zeros + 1]
+    if k * k * width >= 2**62:
+        both = np.unique(np.concatenate([pairs, pairs0]), return_inverse=True)[1]
+        pairs, pairs0 = both[: len(pairs)], both[len(pairs) :]
+    low = low + np.searchsorted(pairs * width + rank[two + 2], pairs0 * width + rank[zeros + 2])
     at = np.maximum.accumulate(low) + np.arange(len(zeros))
     out = np.empty(n, np.int64)
     is_zero = np.zeros(n, bool)
@@ -92,11 +81,13 @@ def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
     order = suffix_order(text, length)
     order = order[left[order] >= length]
     hit = np.zeros(len(raw), bool)
-    columns = np.arange(length)
+    # All windows as items of ``length`` bytes, compared in words.
+    windows = np.ndarray((max(0, len(raw) - length + 1),), f"V{length}", raw, strides=(1,))
+    word = next(w for w in (8, 4, 2, 1) if length % w == 0)
     for a in range(0, len(order) - 1, 4096):
-        block = raw[order[a : a + 4097, None] + columns]
-        same = (block[1:] == block[:-1]).all(axis=1)
         at = order[a : a + 4097]
+        block = windows[at].view(f"u{word}").reshape(len(at), -1)
+        same = (block[1:] == block[:-1]).all(axis=1)
         hit[at[1:][same]] = True
         hit[at[:-1][same]] = True
     return [hit[a : a + max(0, n - length + 1)] for a, n in zip(starts, sizes, strict=True)]

@@ -91,7 +91,7 @@ def _span_rows(length: int):
     return run
 
 
-def _bucket_rows(length: int, flush: int = 1 << 19):
+def _bucket_rows(length: int, flush: int = 1 << 17):
     """Rows sorted by name; whole groups of an anchor are sorted together until a batch of ``flush`` bytes is full.
 
     A row for each name with repeated windows: its runs of them, as pairs of offset and number, one after the other."""
