@@ -18,13 +18,20 @@ class Config:
     partitions: int = field(default=0, metadata={"help": "range partitions of sorts (0: spark.sql.shuffle.partitions)"})
     chunk: int = field(default=1 << 16, metadata={"help": "symbols in a chunk of text"})
     tie_group: int = field(default=10_000, metadata={"help": "larger groups of equal keys are ordered by counting, over many tasks"})
+    buckets_samples: tuple[int, ...] = field(default=(), metadata={"help": "at each level, sort the samples in that many ranges one after the other"})
+    buckets_merging: tuple[int, ...] = field(default=(), metadata={"help": "the same for all suffixes"})
     min_imbalance: float = field(default=0.25, metadata={"help": "rebalance when the smallest partition is at most this share of the mean"})
     check: bool = field(default=False, metadata={"help": "verify the suffix array"})
 
+    def buckets_at(self, phase: str, level: int) -> int:
+        """Ranges at a level of recursion; 1 beyond the levels given."""
+        given = {"samples": self.buckets_samples, "merging": self.buckets_merging}[phase]
+        return given[level] if level < len(given) else 1
+
 
 #: Options of other engines of this kind that Spark decides itself; accepted by the command line without effect.
 SPARK_DECIDES = (
-    "num-samples-splitters buckets-sample-phase buckets-merging-phase buckets-phase3 samples-buckets-phase3 avg-chunks-pe pack-extra-words atomic-sorter ams-levels "
+    "num-samples-splitters buckets-phase3 samples-buckets-phase3 avg-chunks-pe pack-extra-words atomic-sorter ams-levels "
     "splitter-sampling splitter-sorting string-sorter memory-seq-string-sorter lcp-compression-threshold inital-prefix-length"
 ).split()
 SPARK_DECIDES_FLAGS = (
@@ -37,7 +44,10 @@ SPARK_DECIDES_FLAGS = (
 def add_options(parser: argparse.ArgumentParser) -> argparse.ArgumentParser:
     for f in fields(Config):
         name, text = f"--{f.name.replace('_', '-')}", f.metadata["help"]
-        if isinstance(f.default, bool):
+        if isinstance(f.default, tuple):
+            also = {"buckets_samples": "--buckets-sample-phase", "buckets_merging": "--buckets-merging-phase"}[f.name]
+            parser.add_argument(name, also, dest=f.name, type=lambda v: tuple(int(x) for x in v.split(",") if x), default=(), help=f"{text}, as 16,16; 1 by default")
+        elif isinstance(f.default, bool):
             parser.add_argument(name, action="store_true", help=text)
         else:
             parser.add_argument(name, type=type(f.default), default=f.default, help=f"{text}; {f.default} by default")

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import resource
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,3 +34,59 @@ def summary(df: DataFrame, value: str) -> DataFrame:
 def peak_memory_kb() -> int:
     """Largest resident set of the driver's Python, in kB."""
     return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+
+
+@dataclass
+class Statistics:
+    """Seconds and sizes of a run by phase and recursion level, and the largest resident set after each phase."""
+
+    times: dict[tuple[str, int], float] = field(default_factory=dict)
+    counts: dict[tuple[str, int], int] = field(default_factory=dict)
+    memory: list[tuple[str, int, int]] = field(default_factory=list)
+
+    def lines(self, prefix: str = "root") -> list[str]:
+        """As a log: ``root.phase_level=seconds`` and ``[count_level=size]``."""
+        return [f"{prefix}.{p}_{level}={v:.6f}" for (p, level), v in self.times.items()] + [f"[{c}_{level}={v}]" for (c, level), v in self.counts.items()]
+
+    def records(self) -> list[tuple[str, int, float]]:
+        """(phase, level, seconds)."""
+        return [(p, level, v) for (p, level), v in self.times.items()]
+
+    def peak_kb(self) -> int:
+        return max((kb for *_, kb in self.memory), default=0)
+
+
+#: Of the run that is going on in this driver.
+current = Statistics()
+
+
+def restart() -> Statistics:
+    global current
+    current = Statistics()
+    return current
+
+
+@contextmanager
+def phase(name: str, level: int) -> Iterator[None]:
+    """Adds the time of its body, the phases of deeper levels in it included."""
+    begun = time.perf_counter()
+    try:
+        yield
+    finally:
+        current.times[name, level] = current.times.get((name, level), 0.0) + time.perf_counter() - begun
+        current.memory.append((name, level, peak_memory_kb()))
+
+
+def count(name: str, level: int, value: int) -> None:
+    current.counts[name, level] = value
+
+
+def blow_up(peak_kb: int, text_bytes: int) -> float:
+    """Memory by size of the text."""
+    return peak_kb * 1024 / max(1, text_bytes)
+
+
+def session_flags(spark) -> dict[str, str]:
+    """What a run depends on: version, master, and the settings of SQL and executors."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.executor.memory", "spark.executor.cores", "spark.driver.memory", "spark.checkpoint.dir")
+    return {"version": spark.version, "master": spark.sparkContext.master, **{n: str(spark.conf.get(n, None)) for n in names}}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import row_index
@@ -33,6 +33,22 @@ def needs_rebalance(min_imbalance: float, threshold: float) -> bool:
     return min_imbalance <= threshold
 
 
+def rebalance(df: DataFrame, index: str, parts: int, threshold: float, part: str = "part") -> tuple[DataFrame, bool]:
+    """Rows of parts 0..parts-1 with their ``target`` part, and whether they move: if the smallest part has at most
+    ``threshold`` of the mean, all are dealt evenly in the order of ``index``; else each stays."""
+    sizes = {r[part]: r["count"] for r in df.groupBy(part).count().collect()}
+    n = sum(sizes.values())
+    moves = n > 0 and needs_rebalance(min(sizes.get(p, 0) for p in range(parts)) * parts / n, threshold)
+    return (even(df, index, parts, n) if moves else df.withColumn("target", F.col(part).cast("int"))), moves
+
+
+def rebalance_small(df: DataFrame, index: str, parts: int, part: str = "part") -> tuple[DataFrame, bool]:
+    """The same if some part has as many rows as there are parts, or fewer."""
+    sizes = {r[part]: r["count"] for r in df.groupBy(part).count().collect()}
+    moves = min(sizes.get(p, 0) for p in range(parts)) <= parts
+    return (even(df, index, parts, sum(sizes.values())) if moves else df.withColumn("target", F.col(part).cast("int"))), moves
+
+
 def bucket_major(df: DataFrame, bucket: str, index: str, parts: int) -> DataFrame:
     """Rows numbered (``idx``) by (bucket, index), with targets that differ by one row at most, the first ones larger."""
     rows = row_index(df, [bucket, index], "idx")
@@ -44,13 +60,31 @@ def bucket_major(df: DataFrame, bucket: str, index: str, parts: int) -> DataFram
 
 
 def bucket_parts(sizes: list[int], parts: int) -> list[int]:
-    """Parts for each bucket: one each, further ones to the bucket with the most rows a part."""
+    """Parts for each bucket: the same number each; those left over go to the largest buckets, one each."""
     if len(sizes) > parts:
         raise ValueError("more buckets than parts")
-    out = [1] * len(sizes)
-    for _ in range(parts - len(sizes)):
-        out[max(range(len(sizes)), key=lambda b: (sizes[b] / out[b], -b))] += 1
-    return out
+    each, more = divmod(parts, len(sizes))
+    largest = set(sorted(range(len(sizes)), key=lambda b: (-sizes[b], b))[:more])
+    return [each + (b in largest) for b in range(len(sizes))]
+
+
+def bucket_groups(df: DataFrame, bucket: str, index: str, parts: int) -> DataFrame:
+    """Rows numbered (``idx``) by (bucket, index), with targets: each bucket has parts of its own, and fills them evenly."""
+    rows = row_index(df, [bucket, index], "idx")
+    sizes = {r[bucket]: r["count"] for r in df.groupBy(bucket).count().collect()}
+    names = sorted(sizes)
+    shares = bucket_parts([sizes[b] for b in names], parts)
+    ends, firsts = list(accumulate(sizes[b] for b in names)), [0, *accumulate(shares)]
+    target = F.lit(None)
+    for k in range(len(names) - 1, -1, -1):
+        own = even_target(F.col("idx") - (ends[k] - sizes[names[k]]), sizes[names[k]], shares[k]) + firsts[k]
+        target = F.when(F.col("idx") < ends[k], own).otherwise(target)
+    return rows.withColumn("target", target.cast("int"))
+
+
+def by_buckets(df: DataFrame, bucket: str, index: str, parts: int, balanced: bool = True) -> DataFrame:
+    """Bucket-major order over equal parts, or with parts of its own for each bucket."""
+    return (bucket_major if balanced else bucket_groups)(df, bucket, index, parts)
 
 
 def place(df: DataFrame, target: str, parts: int) -> DataFrame:
@@ -65,7 +99,7 @@ def chunk_rows(n: int, chunk: int, spark) -> DataFrame:
 
 def chunk_targets(chunks: DataFrame, parts: int, seed: int = 0) -> DataFrame:
     """Chunks with a random, repeatable ``target`` part."""
-    return chunks.withColumn("target", F.pmod(F.xxhash64(F.lit(seed), "chunk_id"), F.lit(parts)).cast("int"))
+    return chunks.withColumn("target", (digits(F.col("chunk_id"), seed) % parts).cast("int"))
 
 
 def send_counts(chunks: DataFrame) -> DataFrame:
@@ -80,14 +114,39 @@ def uniform_splitters(df: DataFrame, key: str, buckets: int) -> list:
     return [r[key] for r in rows.where(F.col("i").isin(at)).orderBy("i").collect()]
 
 
+def digits(value: Column, seed: int) -> Column:
+    """A repeatable random number below 2^28 for each value and seed, from a digest of both as text."""
+    return F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(str(seed)), value.cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+
+
 def random_splitters(df: DataFrame, key: str, buckets: int, samples: int, seed: int = 0) -> list:
-    """Splitters from a repeatable random sample of about ``samples`` keys, which goes to the driver."""
-    n = df.count()
-    share = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, samples / max(1, n)))
-    found = sorted(r[key] for r in df.where(share).select(key).limit(4 * samples).collect())
+    """Splitters from a repeatable random sample of ``samples`` keys, those of the smallest digests, which goes to the
+    driver; equal keys are drawn together, and the smallest ones stand for them."""
+    random = digits(F.hex(key) if dict(df.dtypes)[key] == "binary" else F.col(key), seed)
+    found = sorted(r[key] for r in df.select(key, random.alias("_r")).where(F.col(key).isNotNull()).orderBy("_r", key).limit(samples).collect())
     return [found[len(found) * b // buckets] for b in range(1, buckets)] if found else []
 
 
+def splitters(df: DataFrame, key: str, buckets: int, random: bool = False, samples: int = 1000, seed: int = 0) -> list:
+    """buckets - 1 splitters, uniform or of a random sample."""
+    return random_splitters(df, key, buckets, samples, seed) if random else uniform_splitters(df, key, buckets)
+
+
+def record_splitters(df: DataFrame, order: list[str], buckets: int, samples: int, seed: int = 0) -> list[tuple]:
+    """The same for records that compare by several columns, one after the other."""
+    random = digits(F.to_json(F.struct(*order)), seed)
+    found = sorted(tuple(r[c] for c in order) for r in df.select(*order, random.alias("_r")).orderBy("_r", *order).limit(samples).collect())
+    return [found[len(found) * b // buckets] for b in range(1, buckets)] if found else []
+
+
+def bucket_of_record(order: list[str], cuts: list[tuple]) -> Column:
+    """Number of record splitters at or below the row."""
+    row, total = F.struct(*order), F.lit(0)
+    for c in cuts:
+        total = total + F.when(F.struct(*[F.lit(v).alias(n) for n, v in zip(order, c, strict=True)]) <= row, 1).otherwise(0)
+    return total
+
+
 def bucket_of(key: Column, splitters: list) -> Column:
     """Number of splitters at or below the key."""
     return F.size(F.filter(F.array(*[F.lit(s) for s in splitters]), lambda s: s <= key)) if splitters else F.lit(0)
@@ -107,5 +166,6 @@ def merge_sorted(frames: list[DataFrame], order: list[str]) -> DataFrame:
 
 
 def with_ties(df: DataFrame, key: str) -> DataFrame:
-    """Rows with ``m``, the number of rows of their key."""
-    return df.withColumn("m", F.count("*").over(Window.partitionBy(key)))
+    """Rows with ``m``, the number of rows of their key; a join with counts, so no task holds a key's rows."""
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("m"))
+    return df.join(counts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")

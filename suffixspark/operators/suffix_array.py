@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import stats
 from ..functions.cover import Cover
 from ..sources import text as texts
 from ..sources.shared import materialise
 from ..sources.text import Text
-from .ranks import PART, dense_rank, neighbour, ranged, row_index, shift
+from .ranks import neighbour, ranked
 
 
 def small_suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -91,31 +92,35 @@ def with_kept(rows: DataFrame) -> DataFrame:
     return neighbour(rows, "i", "uniq", -1, "prev").withColumn("kept", ~(F.col("uniq") & F.coalesce("prev", F.lit(False)))).drop("prev")
 
 
-def _from_index(order: DataFrame, n: int, config: Config, halo: int) -> DataFrame:
-    """(i, rank from 1): inverse suffix array of the text of ``rank``s by ``i``."""
-    text = texts.from_symbols(order.select(F.col("i").alias("pos"), F.col("rank").alias("chr")), n, config.chunk, halo)
-    return suffix_array(text, config).select(F.col("pos").alias("i"), (F.col("idx") + 1).alias("rank"))
+def _from_index(order: DataFrame, n: int, top: int, config: Config, level: int) -> DataFrame:
+    """(i, rank from 1): inverse suffix array of the text of ``rank``s, up to ``top``, by ``i``."""
+    text = texts.from_symbols(order.select(F.col("i").alias("pos"), F.col("rank").alias("chr")), n, config.chunk, config.modulus, top)
+    return suffix_array(text, config, level + 1).select(F.col("pos").alias("i"), (F.col("idx") + 1).alias("rank"))
 
 
-def sample_ranks(text: Text, cover: Cover, config: Config) -> DataFrame:
+def sample_ranks(text: Text, cover: Cover, config: Config, level: int = 0) -> DataFrame:
     """(pos, rank): distinct ranks, from 1, of the sample's suffixes, the end's empty one included."""
-    named, names = dense_rank(sample_positions(text, cover), "key", config.partitions)
-    named = materialise(named.select("pos", "rank", "uniq"))
-    total = named.count()
-    if names == total:
-        return named.select("pos", "rank")
-    rows = materialise(with_kept(named.withColumn("i", reduced_index(cover, text.n, F.col("pos")))))
-    kept = rows.where("kept").count()
-    halo = cover.modulus
-    if kept > config.discarding_threshold * total:
-        new = _from_index(rows.select("i", "rank"), total, config, halo)
-        return materialise(rows.select("pos", "i").join(new, "i").select("pos", "rank"))
-    short = materialise(row_index(rows.where("kept").select("i", "rank"), ["i"], "j", config.partitions))
-    new = _from_index(short.select(F.col("j").alias("i"), "rank"), kept, config, halo).select(F.col("i").alias("j"), F.col("rank").alias("rank2"))
-    new = short.select("i", "j").join(new, "j").select("i", "rank2")
-    second = F.when(F.col("uniq"), F.lit(0)).otherwise(F.col("rank2"))
-    both = rows.join(new, "i", "left").select("pos", "rank", second.cast("long").alias("rank2"))
-    return materialise(row_index(both, ["rank", "rank2"], "at", config.partitions).select("pos", (F.col("at") + 1).alias("rank")))
+    with stats.phase("sort_samples", level):
+        named = ranked(sample_positions(text, cover), ["key"], ["pos"], ["pos"], partitions=config.partitions, buckets=config.buckets_at("samples", level))
+    stats.count("samples", level, named.n)
+    if named.names == named.n:
+        return named.rows.select("pos", "rank")
+    with stats.phase("reduce", level):
+        rows = materialise(with_kept(named.rows.select("pos", "rank", "uniq", reduced_index(cover, text.n, F.col("pos")).alias("i"))))
+        kept = rows.where("kept").count()
+    stats.count("kept", level, kept)
+    if kept > config.discarding_threshold * named.n:
+        with stats.phase("recursion", level):
+            new = _from_index(rows.select("i", "rank"), named.n, named.names, config, level)
+            return materialise(rows.select("pos", "i").join(new, "i").select("pos", "rank"))
+    with stats.phase("recursion", level):
+        short = ranked(rows.where("kept"), ["i"], ["i", "rank"], partitions=config.partitions).rows.select("i", "rank", F.col("idx").alias("j"))
+        new = _from_index(short.select(F.col("j").alias("i"), "rank"), kept, named.names, config, level).select(F.col("i").alias("j"), F.col("rank").alias("rank2"))
+        new = short.select("i", "j").join(new, "j").select("i", "rank2")
+    with stats.phase("sort_ranks", level):
+        second = F.when(F.col("uniq"), F.lit(0)).otherwise(F.col("rank2"))
+        both = rows.join(new, "i", "left").select("pos", "rank", second.cast("long").alias("rank2"))
+        return ranked(both, ["rank", "rank2"], ["pos"], partitions=config.partitions).rows.select("pos", (F.col("idx") + 1).alias("rank"))
 
 
 def _blocks(ranks: DataFrame, cover: Cover) -> DataFrame:
@@ -137,7 +142,7 @@ def next_ranks(rows: DataFrame, ranks: DataFrame, cover: Cover) -> DataFrame:
 
 
 def _order_ties(tied: DataFrame, cover: Cover, config: Config) -> DataFrame:
-    """(pos, part, local) for rows (pos, res, next, part, first, m) of groups (part, first) of m equal keys."""
+    """(pos, idx) for rows (pos, res, next, first) of groups of equal keys, each with its first place."""
     x = cover.modulus
     turn = F.array(*[F.lit(t) for t in cover.turn])
     rank_of = lambda own, other: F.get(own.next, F.element_at(turn, own.res * x + other.res + 1))
@@ -146,29 +151,35 @@ def _order_ties(tied: DataFrame, cover: Cover, config: Config) -> DataFrame:
         p, q = rank_of(a, b), rank_of(b, a)
         return F.when(p < q, -1).when(p > q, 1).otherwise(0)
 
-    small = tied.where(F.col("m") <= config.tie_group).groupBy(PART, "first").agg(F.collect_list(F.struct("pos", "res", "next")).alias("g"))
-    small = small.select(PART, "first", F.posexplode(F.array_sort("g", compare)).alias("o", "s")).select(F.col("s.pos").alias("pos"), PART, (F.col("first") + F.col("o")).alias("local"))
+    # A hot group is counted before its rows meet: partial counts, then a join that AQE may split.
+    sizes = materialise(tied.groupBy("first").agg(F.count("*").alias("m")))
+    small = tied.join(sizes.where(F.col("m") <= config.tie_group), "first").groupBy("first").agg(F.collect_list(F.struct("pos", "res", "next")).alias("g"))
+    small = small.select("first", F.posexplode(F.array_sort("g", compare)).alias("o", "s")).select(F.col("s.pos").alias("pos"), (F.col("first") + F.col("o")).alias("idx"))
+    if sizes.where(F.col("m") > config.tie_group).isEmpty():
+        return small
     # A large group: against each other residue, a suffix comes after those with a smaller rank at their common distance.
-    large = tied.where(F.col("m") > config.tie_group).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(x - 1))))
+    large = tied.join(sizes.where(F.col("m") > config.tie_group), "first").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(x - 1))))
     large = large.withColumn("at", F.get("next", F.element_at(turn, F.col("res") * x + F.col("other") + 1))).withColumn("lo", F.least("res", "other")).withColumn("hi", F.greatest("res", "other"))
-    w = Window.partitionBy(PART, "first", "lo", "hi").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("first", "lo", "hi").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     own = (F.col("lo") == F.col("hi")).cast("int")
     # In a pair of residues, rows of the other one count; in a residue with itself all rows do.
     low, high = F.sum((F.col("res") == F.col("lo")).cast("long")).over(w), F.sum((F.col("res") == F.col("hi")).cast("long")).over(w)
     smaller = F.coalesce(F.when(own == 1, low).when(F.col("res") == F.col("lo"), high).otherwise(low), F.lit(0))
-    large = large.withColumn("smaller", smaller).groupBy("pos", PART, "first").agg(F.sum("smaller").alias("o")).select("pos", PART, (F.col("first") + F.col("o")).alias("local"))
+    large = large.withColumn("smaller", smaller).groupBy("pos", "first").agg(F.sum("smaller").alias("o")).select("pos", (F.col("first") + F.col("o")).alias("idx"))
     return small.unionByName(large)
 
 
-def suffix_array(text: Text, config: Config = Config()) -> DataFrame:
+def suffix_array(text: Text, config: Config = Config(), level: int = 0) -> DataFrame:
     """(idx, pos): the suffix array of a text, 0-based. A text whose halo is under the modulus is refused."""
     spark, cover = text.chunks.sparkSession, Cover.of(config.modulus)
     if text.halo < cover.modulus:
         raise ValueError(f"the halo has {text.halo} symbols, the modulus is {cover.modulus}")
+    stats.count("text", level, text.n)
     if text.n <= max(config.base_case, 2 * cover.modulus):
         return _on_driver(spark, text)
-    ranks = sample_ranks(text, cover, config)
-    return merge_suffixes(text, ranks, cover, config)
+    ranks = sample_ranks(text, cover, config, level)
+    with stats.phase("merge", level):
+        return merge_suffixes(text, ranks, cover, config, level)
 
 
 def _on_driver(spark: SparkSession, text: Text) -> DataFrame:
@@ -182,34 +193,36 @@ def _on_driver(spark: SparkSession, text: Text) -> DataFrame:
     return spark.createDataFrame([(i, int(p)) for i, p in enumerate(order)], "idx long, pos long")
 
 
-def merge_suffixes(text: Text, ranks: DataFrame, cover: Cover, config: Config) -> DataFrame:
-    """(idx, pos) from the text and the ranks (pos, rank) of its sample."""
+def merge_suffixes(text: Text, ranks: DataFrame, cover: Cover, config: Config, level: int = 0) -> DataFrame:
+    """(idx, pos) from the text and the ranks (pos, rank) of its sample.
+
+    Keys are cut from the chunks in the stage that deals them out, and only numbers are written. Equal keys are dealt
+    by position, so one giant group of them is many tasks' work.
+    """
     keys = text.chunks.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: F.struct((F.col("start") + i).alias("pos"), text.key(i, cover.modulus - 1).alias("key")))).alias("s")).select("s.*")
-    rows = ranged(keys, ["key"], config.partitions)
-    w = Window.partitionBy(PART).orderBy("key")
-    same = Window.partitionBy(PART, "key")
-    # rank() is the number of rows with smaller keys, and one: equal keys share it, as the group's first place.
-    rows = materialise(rows.select("pos", PART, (F.rank().over(w).cast("long") - 1).alias("first"), F.count("*").over(same).alias("m")))
-    ties = _order_ties(next_ranks(rows.where("m > 1"), ranks, cover), cover, config)
-    every = rows.where("m = 1").select("pos", PART, F.col("first").alias("local")).unionByName(ties.select("pos", PART, "local"))
-    counts = rows.groupBy(PART).agg(F.count("*").alias("n"))
-    return materialise(every.select((F.col("local") + shift(every, counts, "n")).cast("long").alias("idx"), "pos"))
+    done = ranked(keys, ["key"], ["pos"], ["pos"], partitions=config.partitions, buckets=config.buckets_at("merging", level))
+    single = done.rows.where("uniq").select(F.col("first").alias("idx"), "pos")
+    if done.names == done.n:
+        return single
+    ties = _order_ties(materialise(next_ranks(done.rows.where("not uniq").select("pos", "first"), ranks, cover)), cover, config)
+    return materialise(single.unionByName(ties.select("idx", "pos")))
 
 
 def suffix_array_of_symbols(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """(idx, pos) of a text of integers from 1, given as (pos, chr)."""
-    n = rows.count()
-    return suffix_array(texts.from_symbols(rows, n, config.chunk, Cover.of(config.modulus).modulus), config)
+    """(idx, pos) of a text of integers from 1, given as (pos, chr). Its alphabet is compressed first: keys are
+    as many bytes a symbol as the number of different ones needs."""
+    named = ranked(rows, ["chr"], ["pos", "chr"], ["pos"], partitions=config.partitions)
+    codes = named.rows.select("pos", F.col("rank").alias("chr"))
+    return suffix_array(texts.from_symbols(codes, named.n, config.chunk, Cover.of(config.modulus).modulus, named.names), config)
 
 
 def suffix_array_by_doubling(rows: DataFrame, partitions: int = 0) -> DataFrame:
     """(idx, pos) of (pos, chr) by prefix doubling; another way to the same result, for cross-checks."""
-    ranks, names = dense_rank(rows.select("pos", F.col("chr").alias("key")), "key", partitions)
-    ranks, n, h = materialise(ranks.select("pos", "rank")), rows.count(), 1
-    while names < n:
-        pairs = neighbour(ranks, "pos", "rank", h, "after").select("pos", F.struct("rank", F.coalesce("after", F.lit(0)).alias("after")).alias("key"))
-        ranks, names = dense_rank(pairs, "key", partitions)
-        ranks, h = materialise(ranks.select("pos", "rank")), 2 * h
+    done, h = ranked(rows, ["chr"], ["pos"], ["pos"], partitions=partitions), 1
+    while done.names < done.n:
+        pairs = neighbour(done.rows.select("pos", "rank"), "pos", "rank", h, "after").withColumn("after", F.coalesce("after", F.lit(0)))
+        done, h = ranked(pairs, ["rank", "after"], ["pos"], ["pos"], partitions=partitions), 2 * h
+    ranks = done.rows
     return ranks.select((F.col("rank") - 1).alias("idx"), "pos")
 
 

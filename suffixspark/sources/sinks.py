@@ -70,12 +70,19 @@ def write_json(objects: list[dict], path: str) -> None:
         json.dump(objects, out, indent=1)
 
 
-_VALUE = re.compile(r"(\w+)=([-+.\w]+)")
+_VALUE = re.compile(r"\S*=\S*")
 
 
 def parse_log(lines: list[str]) -> dict[str, str]:
-    """name=value pairs of a run's log; the last of a name counts."""
-    return {k: v for line in lines for k, v in _VALUE.findall(line)}
+    """name=value pairs, brackets left out, of a run's log; a name ends at the first =, and the last of a name counts."""
+    found = (m.translate({91: None, 93: None}).partition("=") for line in lines for m in _VALUE.findall(line))
+    return {name: value for name, _, value in found}
+
+
+def parse_log_rows(log: DataFrame, line: str) -> DataFrame:
+    """(name, value) of all pairs in a column of log lines."""
+    pairs = log.select(F.explode(F.regexp_extract_all(line, F.lit(r"\S*=\S*"), F.lit(0))).alias("p")).select(F.translate("p", "[]", "").alias("p"))
+    return pairs.selectExpr("substring(p, 1, instr(p, '=') - 1) AS name", "substring(p, instr(p, '=') + 1) AS value")
 
 
 def recursive_times(records: DataFrame, keep: tuple[str, ...] = ("total_time", "phase_03_recursion")) -> DataFrame:

@@ -65,22 +65,22 @@ def from_bytes(spark: SparkSession, data: bytes, chunk: int, halo: int) -> Text:
 
 def from_rows(df: DataFrame, order: str, text: str, separator: bytes, chunk: int, halo: int) -> Text:
     """The UTF-8 texts of a table in the order of a column, joined by a separator."""
-    from ..operators.ranks import row_index
-
-    rows = df.where(F.col(text).isNotNull()).select(F.col(order).alias("o"), F.col(text).cast("binary").alias("b"))
-    rows = materialise(row_index(rows, ["o"], "i"))
-    rows = rows.withColumn("piece", F.when(F.col("i") > 0, F.concat(F.lit(separator), F.col("b"))).otherwise(F.col("b")))
-    rows = rows.withColumn("size", F.length("piece"))
-    from ..operators.ranks import prefix_sum
-
-    rows = materialise(prefix_sum(rows.select("i", "size", "piece"), "i", "size", "at"))
-    n = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return _finish(rows, n, 1, chunk, halo)
-
-
-def from_symbols(rows: DataFrame, n: int, chunk: int, halo: int) -> Text:
-    """A text of non-negative integers, from (pos, chr)."""
-    top = rows.agg(F.max("chr")).first()[0] or 0
+    from ..operators.ranks import ranked
+
+    size = F.length("b") + len(separator)
+    rows = df.where(F.col(text).isNotNull()).select(F.col(order).alias("o"), F.col(text).cast("binary").alias("b")).withColumn("s", size)
+    done = ranked(rows, ["o"], ["b"], add="s")
+    # All rows but the first have the separator before them.
+    later = F.col("idx") > 0
+    pieces = done.rows.select(F.when(later, F.col("before") - len(separator)).otherwise(F.lit(0)).cast("long").alias("at"), F.when(later, F.concat(F.lit(separator), F.col("b"))).otherwise(F.col("b")).alias("piece"))
+    n = max(0, done.total - len(separator))
+    return _finish(pieces.withColumn("size", F.length("piece")), n, 1, chunk, halo)
+
+
+def from_symbols(rows: DataFrame, n: int, chunk: int, halo: int, top: int | None = None) -> Text:
+    """A text of non-negative integers, ``top`` the largest, from (pos, chr)."""
+    if top is None:
+        top = rows.agg(F.max("chr")).first()[0] or 0
     width = max(1, -(-int(top).bit_length() // 8))
     body = F.unhex(F.lpad(F.hex(F.col("chr").cast("long")), 2 * width, "0"))
     # Symbols are gathered chunk by chunk first, so that the pieces to join are long ones.

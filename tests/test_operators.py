@@ -27,6 +27,34 @@ def test_ranks(spark, n, top):
     assert sums == {i: sum(values[:i]) for i in range(n)}
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_ranked_rows_with_keys_over_many_partitions(spark, buckets):
+    r = random.Random(buckets)
+    values = [r.choice([None, "", "a", "a", "a", "a", "b", "ba", "zz"]) for _ in range(3000)]
+    df = spark.createDataFrame([(i, v, r.randint(0, 9)) for i, v in enumerate(values)], "i long, v string, x int")
+    rows = df.collect()
+    done = ranks.ranked(df, ["v"], ["i"], ["i"], add="x", partitions=16, buckets=buckets)
+    order = sorted(rows, key=lambda t: (t["v"] is not None, t["v"] or "", t["i"]))
+    names = sorted({t["v"] for t in rows}, key=lambda v: (v is not None, v or ""))
+    got = {t["i"]: t for t in done.rows.collect()}
+    assert (done.n, done.names, done.total) == (3000, len(names), sum(t["x"] for t in rows))
+    before, first = 0, {}
+    for k, t in enumerate(order):
+        g = got[t["i"]]
+        first.setdefault(t["v"], k)
+        assert (g["idx"], g["first"], g["rank"], g["before"], g["uniq"]) == (k, first[t["v"]], names.index(t["v"]) + 1, before, values.count(t["v"]) == 1)
+        before += t["x"]
+
+
+def test_ranked_unique_and_struct_keys(spark):
+    df = spark.createDataFrame([(i, i // 2 if i < 20 else i, float(i % 3)) for i in range(400)], "i long, v long, d double")
+    done = ranks.ranked(df.withColumn("k", F.struct("v", "d")), ["k"], ["i"], partitions=13)
+    assert done.names == len({(r["v"], r["d"]) for r in df.collect()})
+    flags = {r["i"]: r["uniq"] for r in ranks.ranked(df, ["v"], ["i"], partitions=13).rows.collect()}
+    assert flags == {i: i >= 20 for i in range(400)}
+    assert ranks.ranked(df.where("i < 0"), ["v"], ["i"]).n == 0
+
+
 def test_neighbours(spark):
     df = numbers(spark, [5, 6, 7])
     assert sorted((x["i"], x["a"]) for x in ranks.neighbour(df, "i", "v", 1, "a").collect()) == [(0, 6), (1, 7), (2, None)]
@@ -46,12 +74,42 @@ def test_distribution(spark):
     found = sorted((r["idx"], r["b"], r["i"], r["target"]) for r in rows.collect())
     assert [(b, i) for _, b, i, _ in found] == sorted((i % 3, i) for i in range(n))
     assert [t for *_, t in found] == [0] * 26 + [1] * 26 + [2] * 26 + [3] * 25
-    assert distribute.bucket_parts([100, 10, 1], 6) == [4, 1, 1]
+    assert distribute.bucket_parts([100, 10, 1], 6) == [2, 2, 2] and distribute.bucket_parts([5, 90, 7], 8) == [2, 3, 3]
     with pytest.raises(ValueError):
         distribute.bucket_parts([1, 1], 1)
     assert distribute.needs_rebalance(0.2, 0.25) and not distribute.needs_rebalance(0.3, 0.25)
 
 
+def test_rebalancing(spark):
+    rows = spark.range(90).select(F.col("id").alias("i"), F.when(F.col("id") < 80, 0).when(F.col("id") < 85, 1).otherwise(2).alias("part"))
+    moved, yes = distribute.rebalance(rows, "i", 3, 0.25)
+    assert yes and [r["count"] for r in moved.groupBy("target").count().orderBy("target").collect()] == [30, 30, 30]
+    stays, no = distribute.rebalance(rows, "i", 3, 0.1)
+    assert not no and stays.where("part <> target").isEmpty()
+    assert not distribute.rebalance_small(rows, "i", 3)[1] and distribute.rebalance_small(rows, "i", 5)[1]
+    both = [distribute.by_buckets(rows, "part", "i", 4, b).groupBy("target").count().orderBy("target").collect() for b in (True, False)]
+    assert [[r["count"] for r in x] for x in both] == [[23, 23, 22, 22], [40, 40, 5, 5]]
+
+
+def test_records_and_searches(spark):
+    df = spark.createDataFrame([(i % 7, str(i)) for i in range(200)], "a int, b string")
+    cuts = distribute.record_splitters(df, ["a", "b"], 4, 100)
+    assert cuts == distribute.record_splitters(df, ["a", "b"], 4, 100) == sorted(cuts) and len(cuts) == 3
+    got = df.select("a", "b", distribute.bucket_of_record(["a", "b"], cuts).alias("n")).collect()
+    assert all(r["n"] == sum(c <= (r["a"], r["b"]) for c in cuts) for r in got)
+    values = [1, 3, 3, 7, 9]
+    found = spark.range(12).select("id", strings.first_at_least(values, F.col("id")).alias("x"), strings.bisected(values, F.col("id")).alias("y")).collect()
+    assert all(r["x"] == r["y"] == sum(v < r["id"] for v in values) for r in found)
+    pair = spark.createDataFrame([("abcdef", "abcxef", 2), ("ab", "ab", 1), ("ab", "abc", 2)], "a string, b string, k int")
+    assert [tuple(r["c"]) for r in pair.select(strings.compare_from(F.col("a"), F.col("b"), F.col("k")).alias("c")).collect()] == [(-1, 3), (0, 2), (-1, 2)]
+
+
+def test_common_prefixes_beyond_old_limits(spark):
+    df = spark.createDataFrame([(0,)], "i int").select(F.expr("repeat('a', 600)").alias("a"), F.expr("repeat('a', 40000000)").alias("b"))
+    row = df.select(strings.lcp_scan(F.col("a"), F.concat("a", F.lit("b"))).alias("x"), strings.lcp(F.col("b"), F.concat("b", F.lit("b"))).alias("y")).first()
+    assert tuple(row) == (600, 40_000_000)
+
+
 def test_chunks_and_splitters(spark):
     chunks = distribute.chunk_targets(distribute.chunk_rows(2500, 1000, spark), 3, 1)
     assert sorted((r["start"], r["size"]) for r in chunks.collect()) == [(0, 1000), (1000, 1000), (2000, 500)]
@@ -64,11 +122,11 @@ def test_chunks_and_splitters(spark):
 
 
 def test_strings(spark):
-    pairs = [("abc", "abd"), ("abc", "abc"), ("", "x"), ("abc", "ab"), (None, "a"), ("é" * 700 + "a", "é" * 700 + "b")]
+    pairs = [("abc", "abd"), ("abc", "abc"), ("", "x"), ("abc", "ab"), (None, "a"), ("é" * 700 + "a", "é" * 700 + "b"), ("", "")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
-    rows = df.select("i", strings.lcp(F.col("a"), F.col("b")).alias("x"), strings.lcp_short(F.col("a"), F.col("b"), 1000).alias("y"), strings.compare(F.col("a"), F.col("b")).alias("c")).orderBy("i").collect()
-    assert [r["x"] for r in rows] == [2, 3, 0, 2, None, 700]
-    assert [r["y"] for r in rows] == [2, 3, 0, 2, None, 700]
+    rows = df.select("i", strings.lcp(F.col("a"), F.col("b")).alias("x"), strings.lcp_scan(F.col("a"), F.col("b")).alias("y"), strings.compare(F.col("a"), F.col("b")).alias("c")).orderBy("i").collect()
+    assert [r["x"] for r in rows] == [2, 3, 0, 2, None, 700, 0]
+    assert [r["y"] for r in rows] == [2, 3, 0, 2, None, 700, 0]
     assert [r["c"] for r in rows][:4] == [-1, 0, -1, 1]
 
 
@@ -110,7 +168,17 @@ def test_statistics_and_logs(spark):
     one = stats.imbalance(spark.createDataFrame([(0, 10), (1, 30)], "p int, size long")).first()
     assert (one["max_imbalance"], one["min_imbalance"]) == (0.5, 0.5)
     assert stats.imbalance(spark.createDataFrame([(0, 0)], "p int, size long")).first()["min_imbalance"] == 1.0
-    assert sinks.parse_log(["x n=5 t=1.5", "n=6"]) == {"n": "6", "t": "1.5"}
+    log = ["x n=5 t=1.5", "[n=6]", "root.sort.phase_03:max=1.5 root.sort.phase_03:min=0.5", "k="]
+    want = {"n": "6", "t": "1.5", "root.sort.phase_03:max": "1.5", "root.sort.phase_03:min": "0.5", "k": ""}
+    assert sinks.parse_log(log) == want
+    rows = sinks.parse_log_rows(spark.createDataFrame([(x,) for x in log], "line string"), "line")
+    assert sorted(map(tuple, rows.collect())) == sorted([*want.items(), ("n", "5")])
+    stats.restart()
+    with stats.phase("sort", 1):
+        stats.count("text", 1, 9)
+    written = sinks.parse_log(stats.current.lines())
+    assert written["text_1"] == "9" and float(written["root.sort_1"]) >= 0 and stats.current.peak_kb() > 0
+    assert stats.blow_up(10, 1024) == 10.0 and "master" in stats.session_flags(spark)
     times = spark.createDataFrame([("sort", 0, 1.0), ("sort", 1, 2.0), ("total_time", 0, 9.0), ("total_time", 1, 4.0)], "phase string, level int, time double")
     assert {r["phase"]: r["time"] for r in sinks.recursive_times(times).collect()} == {"sort": 3.0, "total_time": 9.0}
     assert stats.peak_memory_kb() > 0
@@ -123,5 +191,7 @@ def test_random_symbols(spark):
 
 def test_configuration():
     assert parse_config(["--modulus", "7", "--unknown", "1", "--use-loser-tree"]) == Config(modulus=7)
+    levels = parse_config(["--buckets-sample-phase", "16,4", "--buckets-merging", "8"])
+    assert [levels.buckets_at("samples", k) for k in range(3)] == [16, 4, 1] and levels.buckets_at("merging", 0) == 8
     with pytest.raises(SystemExit):
         parse_config(["--unknown", "1"], extras=False)

@@ -7,7 +7,9 @@ from hypothesis import strategies as st
 
 from suffixspark.config import Config
 from suffixspark.functions.cover import Cover
-from suffixspark.operators import check
+from pyspark.sql import functions as F
+
+from suffixspark.operators import check, ranks
 from suffixspark.operators import suffix_array as sa
 from suffixspark.sources import text as texts
 
@@ -48,6 +50,19 @@ def test_recursive(spark, data, x, threshold, tie_group):
     assert order(sa.suffix_array(from_bytes(spark, data, x), config)) == naive(data)
 
 
+def test_in_buckets_and_by_many_tasks(spark):
+    data = _text(3, 400, 5)
+    config = Config(modulus=7, base_case=0, chunk=37, buckets_samples=(3,), buckets_merging=(4, 2))
+    assert order(sa.suffix_array(from_bytes(spark, data, 7), config)) == naive(data)
+    # One key for almost all positions: its rows are dealt over the partitions.
+    n = 20_000
+    text = from_bytes(spark, b"a" * n, 39, chunk=1024)
+    keys = text.chunks.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: F.struct((F.col("start") + i).alias("pos"), text.key(i, 38).alias("key")))).alias("s")).select("s.*")
+    done = ranks.ranked(keys, ["key"], ["pos"], ["pos"])
+    parts = done.rows.select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert done.names == 38 and len(parts) >= 4 and max(r["count"] for r in parts) < 0.6 * n
+
+
 @pytest.mark.parametrize("extra", range(3))
 def test_end_of_text_residues(spark, extra):
     data = _text(2, 60 + extra, 7)
