@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import time
 
 from pyspark.sql import SparkSession
 
@@ -24,36 +23,35 @@ def arguments(args: list[str]) -> argparse.Namespace:
     return add_options(parser).parse_args(args)
 
 
-def run(spark: SparkSession, args: list[str]) -> dict:
-    """Read, sort, check and write; returns and prints what was measured."""
+def run(spark: SparkSession, args: list[str], keep: bool = False) -> dict:
+    """Read, sort, check and write; returns and prints what was measured. Tables in between are deleted unless ``keep``."""
     options, config = arguments(args), parse_config(args)
     if not text.exists(spark, options.input):
         raise FileNotFoundError(options.input)
-    times, begun = {}, time.perf_counter()
-
-    def lap(name: str) -> None:
-        nonlocal begun
-        now = time.perf_counter()
-        times[name], begun = now - begun, now
-
-    source = text.read_bytes(spark, options.input, config.chunk, Cover.of(config.modulus).modulus, config.textsize)
-    lap("read")
-    sa = suffix_array.suffix_array(source, config)
-    lap("suffix_array")
-    record = {"n": source.n, "iteration": options.iteration, "modulus": config.modulus, "max_rss_kb": stats.peak_memory_kb()}
+    measured = stats.restart()
+    for name, value in stats.session_flags(spark).items():
+        print(f"{name}={value}")
+    with stats.phase("total_time", 0):
+        with stats.phase("read", 0):
+            source = text.read_bytes(spark, options.input, config.chunk, Cover.of(config.modulus).modulus, config.textsize)
+        with stats.phase("suffix_array", 0):
+            sa = suffix_array.suffix_array(source, config)
+    record = {"n": source.n, "iteration": options.iteration, "modulus": config.modulus}
     if config.check:
-        record["SA_ok"] = bool(check.check_suffix_array(sa, text.characters(source)).first()["ok"])
-        lap("check")
+        with stats.phase("check", 0):
+            record["SA_ok"] = bool(check.check_suffix_array(sa, text.characters(source)).first()["ok"])
     if options.output:
-        (sinks.write_parquet if options.output.endswith(".parquet") else sinks.write_uint40)(sa, options.output)
-        lap("write")
-    shared.release(spark)
-    for k, v in {**record, **times}.items():
-        print(f"{k}={v}")
+        with stats.phase("write", 0):
+            (sinks.write_parquet if options.output.endswith(".parquet") else sinks.write_uint40)(sa, options.output)
+    if not keep:
+        shared.release(spark)
+    record |= {"max_rss_kb": measured.peak_kb(), "blowup": stats.blow_up(measured.peak_kb(), source.n * source.width)}
+    for line in [*(f"{k}={v}" for k, v in record.items()), *measured.lines()]:
+        print(line)
     if options.json_output_path:
-        sinks.write_json([times], f"{options.json_output_path}_timer.json")
-        sinks.write_json([record], f"{options.json_output_path}_counter.json")
-    return {**record, **times}
+        sinks.write_json([{"phase": p, "level": level, "time": t} for p, level, t in measured.records()], f"{options.json_output_path}_timer.json")
+        sinks.write_json([{**record, **{f"{c}_{level}": v for (c, level), v in measured.counts.items()}}], f"{options.json_output_path}_counter.json")
+    return {**record, **{p: t for p, level, t in measured.records() if level == 0}}
 
 
 def main() -> int:

@@ -134,7 +134,7 @@ def splitters(df: DataFrame, key: str, buckets: int, random: bool = False, sampl
 
 def record_splitters(df: DataFrame, order: list[str], buckets: int, samples: int, seed: int = 0) -> list[tuple]:
     """The same for records that compare by several columns, one after the other."""
-    random = digits(F.to_json(F.struct(*order)), seed)
+    random = digits(F.concat_ws("_", *[F.col(c).cast("string") for c in order]), seed)
     found = sorted(tuple(r[c] for c in order) for r in df.select(*order, random.alias("_r")).orderBy("_r", *order).limit(samples).collect())
     return [found[len(found) * b // buckets] for b in range(1, buckets)] if found else []
 

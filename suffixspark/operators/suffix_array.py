@@ -87,6 +87,21 @@ def reduced_index(cover: Cover, n: int, pos: Column) -> Column:
     return (first + F.floor(pos / cover.modulus)).cast("long")
 
 
+def position_of(cover: Cover, n: int, reduced: Column) -> Column:
+    """The way back from such a place to the position."""
+    starts = cover.starts(n)
+    out = F.lit(None)
+    for r in cover.residues:
+        out = F.when(reduced >= starts[r], (reduced - starts[r]) * cover.modulus + r).otherwise(out)
+    return out.cast("long")
+
+
+def slot(cover: Cover, pos: Column) -> Column:
+    """Number, among all samples by position, of the first one at or after a position."""
+    before = F.array(*[F.lit(b) for b in cover.before])
+    return (F.floor(pos / cover.modulus) * len(cover.residues) + F.get(before, F.pmod(pos, F.lit(cover.modulus)).cast("int"))).cast("long")
+
+
 def with_kept(rows: DataFrame) -> DataFrame:
     """Rows (i, uniq, ...) with kept: not (unique after a unique one); the first is kept."""
     return neighbour(rows, "i", "uniq", -1, "prev").withColumn("kept", ~(F.col("uniq") & F.coalesce("prev", F.lit(False)))).drop("prev")

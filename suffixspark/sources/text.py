@@ -113,8 +113,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def random_symbols(spark: SparkSession, n: int, sigma: int, seed: int) -> DataFrame:
     """(pos, chr): independent uniform symbols of 1..sigma, the same for the same seed."""
-    value = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(sigma)) + 1
-    return spark.range(n).select(F.col("id").alias("pos"), value.cast("long").alias("chr"))
+    from ..operators.distribute import digits
+
+    return spark.range(n).select(F.col("id").alias("pos"), (digits(F.col("id"), seed) % sigma + 1).cast("long").alias("chr"))
 
 
 def characters(text: Text) -> DataFrame:
