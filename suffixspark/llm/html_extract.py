@@ -42,6 +42,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: A name that begins so says something about the page around it, or that something isn't there.
+_AROUND = frozenset("has have no not non without with is js show hide before after page body layout".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -58,7 +60,17 @@ _CLOSED_BY = {"p": _BLOCK, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"},
 _BOUNDARY = {"p": frozenset("td th li blockquote div section article button object".split()), "li": frozenset({"ul", "ol", "menu"}), "dd": frozenset({"dl"}), "dt": frozenset({"dl"}), "tr": frozenset({"table"}), "td": frozenset({"table"}), "th": frozenset({"table"}), "option": frozenset({"select"}), "head": frozenset()}
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _named(value: str) -> set[str]:
+    """Which names of what isn't the article a class or id attribute has: a whole name, or its first or last part."""
+    out = set()
+    for name in value.split():
+        parts = [x.lower() for x in _NAME_PART.findall(name)]
+        if parts and parts[0] not in _AROUND:
+            out |= {name.lower(), parts[0], parts[-1]} & _CLASSES
+    return out
+
+
+def _left_out(tag: str, attributes: str, in_article: bool, names: bool = True) -> bool:
     if tag in _NOT_ARTICLE or (tag == "header" and not in_article):
         return True
     if not attributes or attributes.isspace() or tag in ("html", "body", "main"):
@@ -68,9 +80,10 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            parts = {x.lower() for x in _NAME_PART.findall(value)}
-            found = parts & _CLASSES
-            if found <= _HEADER and (in_article or parts & _OWN_HEADER):
+            if not names:
+                continue
+            found = _named(value)
+            if found and found <= _HEADER and (in_article or {x.lower() for x in _NAME_PART.findall(value)} & _OWN_HEADER):
                 found = frozenset()
             if found:
                 return True
@@ -107,11 +120,12 @@ class Block:
         return self.size >= SHORT and (self.density() >= STOP_HIGH if self.told else not self.links)
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order, without those that the markup names as something else."""
+def blocks(page: str, names: bool = True) -> list[Block]:
+    """The page's text blocks in order, without those that the markup names as something else (by class and id: ``names``)."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, left out, in article, in link, in <pre>
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
     out_now = article = link = pre = False
     heading = False
     breaks = 0
@@ -129,6 +143,16 @@ def blocks(page: str) -> list[Block]:
         nonlocal out_now, article, link, pre
         _, out_now, article, link, pre = stack[-1] if stack else ("", False, False, False, False)
 
+    def close(tag: str, unless: frozenset[str] = frozenset()) -> None:
+        """Close the innermost element of a tag and all in it, unless one of others is open in it."""
+        at = places.get(tag)
+        if at and not any(own[-1] > at[-1] for own in map(places.get, unless) if own):
+            i = at[-1]
+            for k in range(len(stack) - 1, i - 1, -1):
+                places[stack[k][0]].pop()
+            del stack[i:]
+            settle()
+
     done = 0
     for m in _TOKEN.finditer(page):
         if m.start() > done and not out_now:
@@ -151,23 +175,13 @@ def blocks(page: str) -> list[Block]:
         if tag in _BLOCK:
             flush()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    settle()
-                    break
+            close(tag)
             if tag in _HEADINGS:
                 heading = False
             continue
         for open_, closers in _CLOSED_BY.items():
             if tag in closers:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == open_:
-                        del stack[i:]
-                        settle()
-                        break
-                    if stack[i][0] in _BOUNDARY[open_]:
-                        break
+                close(open_, _BOUNDARY[open_])
         if tag in _VOID or m[4].endswith("/"):
             if tag == "img":
                 parts.append((" ", link))
@@ -176,10 +190,11 @@ def blocks(page: str) -> list[Block]:
             article = True
         elif tag in _BLOCK and not article and "articleBody" in m[4]:
             article = True
-        out_now = out_now or _left_out(tag, m[4], article)
+        out_now = out_now or _left_out(tag, m[4], article, names)
         link = link or tag == "a"
         pre = pre or tag == "pre"
         heading = tag in _HEADINGS if tag in _BLOCK else heading
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, out_now, article, link, pre))
     if done < len(page) and not out_now:
         parts.append((html.unescape(page[done:]), link))
@@ -213,9 +228,8 @@ def decide(b: Block) -> str:
     return "near" if density >= STOP_LOW else "bad"
 
 
-def main_blocks(page: str) -> list[str]:
-    """The texts of the blocks that both passes take for the article."""
-    found = blocks(page)
+def labels_of(found: list[Block]) -> tuple[list[str], list[str]]:
+    """What pass 1 says of each block, and what both passes do: good or bad."""
     weigh(found)
     first = [decide(b) for b in found]
     n = len(found)
@@ -252,7 +266,18 @@ def main_blocks(page: str) -> list[str]:
             if found[i].heading and first[i] == "near":
                 labels[i] = heads
             heads = labels[i]
-    return [b.text for b, label in zip(found, labels, strict=True) if label == "good"]
+    return first, labels
+
+
+def main_blocks(page: str) -> list[str]:
+    """The texts of the blocks that both passes take for the article. Where class and id names leave nothing, as when
+    a wrapper of the whole page has one of them, they don't count."""
+    for names in (True, False):
+        found = blocks(page, names)
+        own = [b.text for b, label in zip(found, labels_of(found)[1], strict=True) if label == "good"]
+        if own:
+            return own
+    return []
 
 
 def extract(page: str | None) -> str:
@@ -270,6 +295,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for each row of ``pages`` (page_id, url, html); the whole html is read.
 
     Null and empty html give an empty text; repeated rows each get a row; other columns are ignored; an empty table
-    gives no rows. Inside a block white space, no-break spaces included, becomes one space.
+    gives no rows. Inside a block white space, no-break spaces included, becomes one space. A page of any length costs
+    time in proportion to it, whatever its tags are.
     """
     return pages.select("page_id", "url", "html").mapInArrow(_rows, "page_id long, url string, text string, n_chars long")

@@ -33,6 +33,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 # Letters of other scripts that look like Latin ones.
 _CYRILLIC = dict(zip("абвгеозкмнпрстухіјѕһԁԛԝӏАВЕЗКМНОРСТУХІЈЅ", "a6breo3kmhnpctyxijshdqwlABE3KMHOPCTYXIJS", strict=True))
 _GREEK = dict(zip("αεικνορτυχωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeikvoptuxwABEZHIKMNOPTYX", strict=True))
+_ARMENIAN = dict(zip("օսհոռցզՏՕԼՍ", "ouhnngqSOLU", strict=True))
+_OTHERS = {"ı": "i", "ȷ": "j"}
 _SIGNS = {"。": ".", "․": ".", "‧": ".", "∙": ".", "⋅": ".", "·": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-"}
 _SPACES = "              　"
 _GONE = "­​‌‍⁠﻿"
@@ -43,9 +45,10 @@ _DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_AT_WORDS, _DOT_WORDS, _PLUS_WORDS = ("at", "arroba", "arobase", "klammeraffe"), ("dot", "punkt", "punto", "point", "period"), ("plus", "más", "mas")
+_AT_WORDS, _DOT_WORDS, _PLUS_WORDS = ("at", "ät", "arroba", "arobase", "klammeraffe", "chiocciola", "apenstaartje"), ("dot", "punkt", "punto", "point", "ponto", "period"), ("plus", "más", "mas")
 
-_TABLE = _CYRILLIC | _GREEK | _SIGNS | {c: " " for c in _SPACES} | {c: "" for c in _GONE}
+_CIRCLED = {"⓪": "0"} | {chr(0x2460 + i): str(i + 1) for i in range(9)}
+_TABLE = _CYRILLIC | _GREEK | _ARMENIAN | _OTHERS | _CIRCLED | _SIGNS | {c: " " for c in _SPACES} | {c: "" for c in _GONE}
 
 
 def _plain(c: str) -> str | None:
@@ -66,20 +69,29 @@ _open, _close = r"[\[({<]", r"[\])}>]"
 _name = r"[A-Za-z0-9-]+"
 #: White space from its start, or none: tried from each place in it, a long run would cost its square.
 _space = r"(?:(?<!\s)\s++)?"
+#: Marks around a word from their start, for the same reason; an underscore is a character of words too.
+_mark = r"(?<=[^\W_])[_*~]++"
+# Common top-level domains.
+_TOP_LEVEL = "com org net edu gov info biz io co uk de fr es it nl be ch at eu us ca au jp".split()
+#: A dot between white space, before such a domain: elsewhere it ends a sentence.
+_spaced_dot = rf"\s+\.\s+(?=(?-i:{'|'.join(_TOP_LEVEL)})(?!\w))"
 _starts: dict[str, str] = {}
 for _w in sorted({*_DIGIT_WORDS, "double", "triple", *_PLUS_WORDS}):
     _starts[_w[0]] = _starts.get(_w[0], "") + _w[1]
 #: What each alternative of _DISGUISE starts with; elsewhere, none is tried.
-_start = rf"(?=[\[({{<&_*~@]|(?<!\s)\s++[\[({{<&@{''.join(sorted({w[0] for w in _AT_WORDS + _DOT_WORDS}))}]|(?<!\w)(?:[0-9]|{'|'.join(f'{c}[{rest}]' for c, rest in _starts.items())}))"
+_start = rf"(?=[\[({{<&_*~@]|(?<!\s)\s++[\[({{<&@.{''.join(sorted({w[0] for w in _AT_WORDS + _DOT_WORDS}))}]|(?<!\w)(?:[0-9]|{'|'.join(f'{c}[{rest}]' for c, rest in _starts.items())}))"
 #: Rewritten in ASCII by now. Groups: at sign, dot, run of digit words.
 _DISGUISE = re.compile(
-    rf"{_start}(?:(?P<at>{_space}{_open}\s*(?:{_at}|@)\s*{_close}\s*|{_space}&(?:\#64|\#x40|commat);\s*|(?<=\w)[_*~]+(?:{_at})[_*~]+(?=\w)|(?<=\w)\s+(?:{_at})\s+(?={_name}(?:\s*{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|\s+(?:{_dot})\s+){_name})|(?<=\w)\s+@\s*(?={_name}\s*\.)|(?<=\w)\s*@\s+(?={_name}\s*\.))"
-    rf"|(?P<dot>{_space}{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|{_space}&(?:\#46|\#x2e|period);\s*|(?<=\w)[_*~]+(?:{_dot})[_*~]+(?=\w)|(?<=\w)\s+(?:{_dot})\s+(?=\w))"
+    rf"{_start}(?:(?P<at>{_space}{_open}\s*(?:{_at}|@)\s*{_close}\s*|{_space}&(?:\#64|\#x40|commat);\s*|{_mark}(?:{_at})[_*~]++(?=[^\W_])|(?<=\w)\s+(?:{_at})\s+(?={_name}(?:\s*{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|\s+(?:{_dot})\s+|{_spaced_dot}){_name})|(?<=\w)\s+@\s*(?={_name}\s*\.)|(?<=\w)\s*@\s+(?={_name}\s*\.))"
+    rf"|(?P<dot>{_space}{_open}\s*(?:{_dot}|\.)\s*{_close}\s*|{_space}&(?:\#46|\#x2e|period);\s*|{_mark}(?:{_dot})[_*~]++(?=[^\W_])|(?<=\w)\s+(?:{_dot})\s+(?=\w)|(?<=\w){_spaced_dot})"
     rf"|(?P<digits>(?<!\w)(?:(?:{_plus})\s+(?={_digit}))?(?:(?:{_digit})(?:\s*+(?:[-,.]\s*+)?+(?={_digit}(?!\w)))?)+(?!\w)))",
     re.IGNORECASE,
 )
 _DIGIT_TOKEN = re.compile(rf"(?P<plus>{_plus})\s+|(?:(?P<times>double|triple)[\s-]+)?(?P<one>{_words}|[0-9])", re.IGNORECASE)
 
+#: A run of digits that may be an address, or a part of one, keeps its dots.
+_FOUR_PARTS, _DOT_DIGIT = re.compile(r"[^.]+(?:\.[^.]+){3}"), re.compile(r"\.[0-9]")
+
 
 def _any_of(words: list[str]) -> str:
     """A pattern for any of the words, as a tree of their letters."""
@@ -98,7 +110,7 @@ _HINTS = tuple(
     re.compile(x)
     for x in (
         rf"\b[0-9]*+{_trigger}(?:\b|[0-9]|{_trigger})",
-        rf"\s(?:{_dot})\s",
+        rf"\s(?:{_dot}|\.)\s",
         rf"{_open}\s*+(?:{_at}|{_dot}|[@.])",
         rf"[_*~](?:{_at}|{_dot})[_*~]",
         r"&(?:#64|#x40|commat|#46|#x2e|period);",
@@ -211,8 +223,12 @@ def _written(text: str, gated: bool = True) -> Mapped | None:
                 continue
             if done < m.start():
                 out.add(text[done : m.start()], done, m.start(), True)
+            dotted, before = out.parts and out.parts[-1].endswith(".") or _FOUR_PARTS.fullmatch(run) or _DOT_DIGIT.match(text, m.end()), 0
             for t in _DIGIT_TOKEN.finditer(run):
                 a, e = m.start() + t.start(), m.start() + t.end()
+                if dotted and "." in run[before : t.start()]:
+                    out.add(".", m.start() + before, a, False)
+                before = t.end()
                 if t["plus"]:
                     out.add("+", a, e, False)
                 else:

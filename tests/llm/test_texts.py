@@ -321,3 +321,92 @@ def test_repeats_of_equal_rows(spark):
     assert per <= 300 * 40  # a few runs a row, not a few for each pair of rows
     got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.remove_repeats(docs).collect()}
     assert got == {1: (600, 1), 2: (0, 0), 3: (350, 1), None: (0, 0)}
+
+
+def _disguise(r):
+    """A disguised identifier, held out from the patterns' own examples: kind, text."""
+    words = ["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve"]
+    spell = r.choice(words).split()
+    digit = lambda d: r.choice([d, spell[int(d)], chr(0xFF10 + int(d)), chr(0x660 + int(d))])
+    kind = r.choice(["email", "ip", "card", "phone"])
+    if kind == "email":
+        name, host, top = ("".join(r.choice("abcdeopxyz") for _ in range(6)) for _ in range(3))
+        at = r.choice([" at ", " [at] ", "(at)", " {ät} ", " [arroba] ", " @ ", "&#64;", "_at_", "＠"])
+        dot = r.choice([" dot ", " [dot] ", "(punkt)", "[.]"]) if at == " at " else r.choice([" dot ", " [dot] ", "(punkt)", "[.]", "."])
+        if at == " @ ":
+            dot = "."
+        if r.random() < 0.3:
+            name = name.replace("a", "а").replace("o", "օ").replace("e", "ｅ") + "ı"
+        return kind, f"{name}{at}{host}{dot}{r.choice(['com', 'org', 'de'])}{''}"
+    if kind == "ip":
+        return kind, r.choice([".", "[.]", " dot "]).join(r.choice([str(r.randint(10, 255)).replace("1", "１"), spell[r.randint(0, 9)]]) for _ in range(3)) + ".７"
+    if kind == "card":
+        d = [r.randint(0, 9) for _ in range(15)]
+        last = next(x for x in range(10) if pii.luhn("".join(map(str, [*d, x]))))
+        return kind, " ".join([spell[d[0]], *(digit(str(x)) for x in d[1:]), str(last)])
+    return kind, r.choice(["+", "plus "]) + " ".join([spell[4], *(digit(str(r.randint(0, 9))) for _ in range(10))])
+
+
+def test_planted_disguises():
+    """Recall over random disguises in prose, and no spans in that prose without them."""
+    r, found, total = random.Random(77), 0, 600
+    prose = ["We met at the house at noon . he left early.", "One or two of three ways, at least.", "Look at example and dot the i at 10 . 5 percent.", "Die Regel gilt seit eins, zwei Jahren; punkt neun Uhr."]
+    for p in prose:
+        assert pii.disguised(p, pii.detect(p)) == []
+    for _ in range(total):
+        kind, text = _disguise(r)
+        before, after = r.choice(prose), r.choice(prose)
+        source = f"{before} <{text}> {after}"
+        a, e = len(before) + 2, len(before) + 2 + len(text)
+        spans = pii.detect(source) + pii.disguised(source, pii.detect(source))
+        found += any(pii.KINDS[k] == kind and abs(x - a) <= 1 and abs(y - e) <= 1 for x, k, y in spans)
+    print(found / total)
+    assert found >= 0.9 * total
+
+
+@pytest.mark.parametrize("text", ["_" * 200_000 + "_at_ x", "a" + "_" * 100_000 + "at" + "_" * 100_000 + " x", "*~" * 100_000 + "at x", " " * 200_000 + ". x", "a" + " . " * 100_000])
+def test_marks_cost_linear_time(text):
+    begun = time.perf_counter()
+    pii.disguised(text, pii.detect(text))
+    assert time.perf_counter() - begun < 10
+
+
+@pytest.mark.parametrize("page", ["<span>" * 20_000 + "</q>" * 20_000, "<p><li>" + "<span>" * 20_000 + "<hr>" * 20_000, "<div>" * 50_000 + "x", "<p>" * 50_000 + "x", "<ul><li>" * 20_000])
+def test_tags_cost_linear_time(page):
+    begun = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - begun < 20
+
+
+PROSE = "The quick brown fox and the dog that was in the house went to the river with all of the others, and it was not what they had been told by the man. " * 3
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "post no-comments", "withSidebar content", "page-footer-fixed", "sidebar"])
+def test_wrappers_named_after_something_else(name):
+    text = html_extract.extract(f"<body><div class='{name}'><p>{PROSE}</p></div></body>")
+    assert text == PROSE.strip()
+
+
+@pytest.mark.parametrize("name", ["sidebar", "main-sidebar", "sidebar-right", "siteFooter", "cookie-banner", "post-comments", "comment-list"])
+def test_parts_named_after_something_else(name):
+    page = f"<body><div class='story'><p>{PROSE}</p></div><div class='{name}'><p>{PROSE[:200]}</p></div></body>"
+    assert html_extract.extract(page) == PROSE.strip()
+
+
+def test_both_passes_decide():
+    """A page without <article>: pass 1 decides some blocks by density, length and links, pass 2 the others by neighbours."""
+    links = "<p>" + " ".join(f"<a href='/{i}'>Section number {i}</a>" for i in range(12)) + "</p>"
+    lists = "<p>" + "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau. " * 3 + "</p>"
+    page = f"<body>{links}<p>Short one.</p><h2>A heading</h2><p>{PROSE}</p><p>Another short line.</p><p>{PROSE}</p>{lists}{links}<p>Last words</p></body>"
+    found = html_extract.blocks(page)
+    first, labels = html_extract.labels_of(found)
+    assert Counter(first)["good"] == 2 and Counter(first)["bad"] == 3 and Counter(first)["short"] == 4
+    assert labels == ["bad", "bad", "good", "good", "good", "good", "bad", "bad", "bad"]
+
+
+def test_blocks_are_judged_inside_an_article(sf):
+    """Of the table's pages, each block goes through pass 1, and pass 2 decides some."""
+    import pyarrow.parquet as pq
+
+    first = Counter(x for p in pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist() for x in html_extract.labels_of(html_extract.blocks(p or ""))[0])
+    assert first["good"] > 0 and first["near"] > 0
