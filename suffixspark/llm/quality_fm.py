@@ -179,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     chosen = chosen.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(train_docs)
-    # train_docs rows of three numbers at most: bounded, whatever the corpus.
-    sample = docs.select("doc_id", whole_text().cast("binary").alias("body")).join(F.broadcast(chosen), "doc_id").select("place", "y", "body")
+    # train_docs rows of three numbers at most: bounded, whatever the corpus; of several texts of a doc_id the least counts.
+    sample = docs.select("doc_id", whole_text().cast("binary").alias("body")).join(F.broadcast(chosen), "doc_id").groupBy("place", "doc_id", "y").agg(F.min("body").alias("body")).drop("doc_id")
     rows = sorted(sample.mapInArrow(_feature_rows, "place long, y double, stats binary, buckets binary, shares binary").collect(), key=lambda r: (r["place"], bytes(r["stats"]), bytes(r["shares"])))
     stats = np.array([np.frombuffer(r["stats"], np.float64) for r in rows]).reshape(len(rows), _N)
     return fit(stats, [(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32)) for r in rows], np.array([r["y"] for r in rows], np.float64))

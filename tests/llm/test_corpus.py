@@ -138,9 +138,9 @@ def test_runs_are_levelled(spark):
 
 
 def test_targets():
-    assert mixing.targets([("a", 100), ("b", 100), ("c", 100)]) == pytest.approx({"a": 200, "b": 250 / 3 * 2, "c": 250 / 3})
-    assert mixing.targets([]) == {} and mixing.targets([(None, 0)]) == {None: 0}
-    got = mixing.targets([(None, 10), ("z", 10), ("A", 10), ("é", 10)])
+    assert targets([("a", 100), ("b", 100), ("c", 100)]) == pytest.approx({"a": 200, "b": 250 / 3 * 2, "c": 250 / 3})
+    assert targets([]) == {} and targets([(None, 0)]) == {None: 0}
+    got = targets([(None, 10), ("z", 10), ("A", 10), ("é", 10)])
     assert sum(got.values()) == pytest.approx(60) and got["A"] == 20 and max(got.values()) <= 20
 
 
@@ -271,6 +271,62 @@ def test_packing_of_repeated_rows_and_long_texts(spark, monkeypatch):
         assert at <= 1024
 
 
+def targets(sizes: list[tuple[str | None, int]], weights=mixing.WEIGHTS, share=mixing.SHARE, cap=mixing.CAP) -> dict[str | None, float]:
+    """Target words of each source; (source, size) pairs in any order. The sources by code point, null last, weigh
+    ``weights``, repeated; a target stops at ``cap`` times the size, its excess goes to the others by weight."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    size = np.array([s for _, s in order], np.float64)
+    w = np.resize(np.array(weights, np.float64), len(order))
+    out, open_ = np.zeros(len(order)), size > 0
+    while open_.any():
+        share_each = w * (share * size.sum() - out[~open_].sum()) / w[open_].sum()
+        over = open_ & (share_each >= cap * size)
+        if not over.any():
+            out[open_] = share_each[open_]
+            break
+        out[over] = cap * size[over]
+        open_ &= ~over
+    return {s: float(t) for (s, _), t in zip(order, out, strict=True)}
+
+
+def _targets(spark, sizes):
+    rows = spark.createDataFrame([(s, n) for s, n in sizes if True], "source string, size long")
+    return {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_by_rounds(spark, seed):
+    r = random.Random(seed)
+    sizes = [(f"s{i}" if i else None, r.choice([0, 1, 10, 1000, 10**6])) for i in range(r.choice([1, 3, 40]))]
+    got, want = _targets(spark, sizes), targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_mixing_of_many_sources_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NODE_SOURCES", 50)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 300)
+    monkeypatch.setattr(mixing, "_COPIES", 16)
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 400}") for i in range(1200)] + [(5000, "one two three", "s1")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(docs).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got)) == sorted(map(tuple, mixing.copies(docs.repartition(7)).collect()))
+    sums, goal = defaultdict(int), {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        sums[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+    assert all(abs(sums[s] - goal[s]) <= 1 for s in goal)
+    assert {s: round(t, 6) for s, t in goal.items()} == {s: round(t, 6) for s, t in targets([(s, sum(len(t.split()) for _, t, x in rows if x == s)) for s in goal]).items()}
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, f"a b c {i}", "s", i, "x", 1.5, True) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _d long, row string, taken double, `a.b` boolean")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    assert all(r["_d"] == r["doc_id"] and r["row"] == "x" and r["taken"] == 1.5 and r["a.b"] for r in out.collect())
+
+
 def brute_nearest(rows, k=20):
     out = {}
     for q, v in rows:
