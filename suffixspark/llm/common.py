@@ -13,6 +13,8 @@ from ..sources.shared import materialise, shared_dir  # noqa: F401
 
 #: Bytes of text that a vectorised kernel takes at a time.
 CHUNK = 1 << 20
+#: Keys with over one of HEAVY rows are dealt out by salt.
+HEAVY = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -52,3 +54,16 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def as_int64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, on: tuple[str, ...], weight: str, salt: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
+    """Inner join of rows with keys: written, one row for each key, ``weight`` its number of rows.
+
+    A key with over 1/HEAVY of all weight has its rows dealt, by hash of ``salt``, to as many salts as keep each under that
+    share. There are under HEAVY such keys, whatever the input, so they are broadcast; and at most 2 * HEAVY salts.
+    """
+    share = (keys.agg(F.sum(weight)).first()[0] or 0) / HEAVY
+    heavy = keys.where(F.col(weight) > share).where(F.col(weight) > HEAVY).select(*on, F.ceil(F.col(weight) / max(share, 1)).cast("int").alias("_salts"))
+    dealt = rows.join(F.broadcast(heavy), [*on], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    each = keys.join(F.broadcast(heavy), [*on], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(each, [*on, "_salt"]).drop("_salt")

@@ -1,19 +1,24 @@
 """Line deduplication against levelled sorted runs of line hashes.
 
-The state is a set of runs: tables of (h1, h2, owner), sorted by the 128-bit hash of a line's key, where owner is the
-smallest doc_id that holds the line. Documents come in batches of ascending doc_id. A batch merge-anti-joins
-the runs: the keys that no run knows become a new sorted run at level 0. When a level has ``fanout`` runs they are
-merged into one run of the next level. So each hash is rewritten once a level, and a lookup reads few runs.
+The state is a set of runs: tables of (h1, h2, owner), bucketed and sorted by the 128-bit hash of a line's key, where owner
+is the smallest doc_id that holds the line. Documents come in batches of ascending doc_id. A batch's distinct keys
+are dealt into the same buckets once and merge-anti-join the runs as they lie on disk: a run is neither
+exchanged nor sorted again. The keys that no run knows become a new run at level 0. When a level has
+``fanout`` runs they are merged into one run of the next level. So each hash is rewritten once a level, and a
+lookup reads few runs.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, whole_text
+from ..sources.shared import register
+from .common import materialise, shared_dir, with_keys
 
 MIN_CHARS, BATCHES, FANOUT = 10, 4, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,77 +31,105 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs in the shared folder; each is a written table, so losing an executor loses nothing."""
+    """Levelled runs in the shared folder; each is a written table, so losing an executor loses nothing. ``release``
+    deletes their files."""
 
-    schema = "h1 long, h2 long, owner long"
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, folder: str | None = None):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
-        self.folder = folder or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
-    def known(self) -> DataFrame | None:
-        """All runs together. A hash is in one run only."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = f"{self.folder}/{level}-{uuid.uuid4().hex}"
-        rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def runs(self) -> list[DataFrame]:
+        """A hash is in one run only."""
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def table(self, rows: DataFrame) -> str:
+        """Write rows bucketed and sorted by hash, a file a bucket; the table's name."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        path = register(self.spark, f"{shared_dir(self.spark)}/{name}")
+        with _sorted_buckets(self.spark):
+            dealt = rows.repartition(self.buckets, "h1", "h2")
+            dealt.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        return name
+
+    def known(self, keys: DataFrame) -> DataFrame:
+        """keys (h1, h2, ...), a row for each hash, with ``known``: its owner in the runs, null if it is in none."""
+        for k, run in enumerate(self.runs()):
+            keys = keys.join(run.withColumnRenamed("owner", f"known{k}"), ["h1", "h2"], "left")
+        found = [c for c in keys.columns if c.startswith("known")]
+        return keys.withColumn("known", F.coalesce(*found) if found else F.lit(None).cast("long")).drop(*found)
 
     def add(self, owners: DataFrame) -> None:
-        """Add the hashes of (h1, h2, owner) that no run knows; then compact full levels."""
-        known = self.known()
-        self._write(owners if known is None else owners.join(known.select("h1", "h2"), ["h1", "h2"], "left_anti"), 0)
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+        """Add hashes (h1, h2, owner) that no run knows; then compact full levels."""
+        level, name = 0, self.table(owners)
+        while True:
+            while len(self.levels) <= level:
+                self.levels.append([])
+            self.levels[level].append(name)
+            if len(self.levels[level]) < self.fanout:
+                return
             full, self.levels[level] = self.levels[level], []
-            self._write(self.spark.read.schema(self.schema).parquet(*full), level + 1)
-            level += 1
+            merged = self.spark.table(full[0])
+            for other in full[1:]:
+                merged = merged.unionByName(self.spark.table(other))
+            level, name = level + 1, self.table(merged)
+
+
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Scans of bucketed tables say that they are sorted, for plans that are made in here."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _batch(docs: DataFrame, runs: LineRuns, min_chars: int) -> DataFrame:
     hashes = F.struct(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    lines = docs.select("doc_id", "body_hash", "owner", F.posexplode(F.split("body", "\n")).alias("i", "line")).withColumn("key", line_key(F.col("line")))
-    # Written, as both the runs and the drops read them, and splitting the text is the dear part; they are a few numbers a line.
+    text = F.coalesce("row.text", F.lit(""))
+    lines = docs.select("doc_id", "body_hash", "owner", F.posexplode(F.split(text, "\n")).alias("i", "line")).withColumn("key", line_key(F.col("line")))
+    # Written, as both the keys and the drops read them, and splitting the text is the dear part; they are a few numbers a line.
     lines = materialise(lines.where(F.char_length("key") >= min_chars).select("doc_id", "body_hash", "owner", "i", hashes.alias("h")).select("doc_id", "body_hash", "owner", "i", "h.*"))
-    runs.add(lines.groupBy("h1", "h2").agg(F.min("owner").alias("owner")))
-    known = runs.known().withColumnRenamed("owner", "first")
-    drops = lines.join(known, ["h1", "h2"]).where("first <> owner").groupBy(F.col("doc_id").alias("d"), F.col("body_hash").alias("b")).agg(F.collect_set("i").alias("drops"))
+    keys = lines.groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"), F.count("*").alias("n"))
+    keys = runs.spark.table(runs.table(runs.known(keys)))
+    runs.add(keys.where("known is null").select("h1", "h2", "owner"))
+    # A key repeats if an earlier batch has it or two documents of this one do; hot ones are dealt out by salt.
+    again = materialise(keys.where("known is not null or owner <> last").select("h1", "h2", "n", F.coalesce("known", "owner").alias("first")))
+    drops = with_keys(lines, again, ("h1", "h2"), "n", ("doc_id", "i")).where("first <> owner").groupBy(F.col("doc_id").alias("d"), F.col("body_hash").alias("b")).agg(F.collect_set("i").alias("drops"))
     both = docs.join(drops, docs.doc_id.eqNullSafe(drops.d) & (docs.body_hash == drops.b), "left").drop("d", "b")
     # The split text is a column of its own: inside the lambda it would be split anew for each line.
-    both = both.withColumn("lines", F.split("body", "\n"))
+    both = both.withColumn("lines", F.split(text, "\n"))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops")), lambda i: F.get("lines", i)), "\n")
     none = F.col("drops").isNull()
-    both = both.withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dropped", F.when(none, 0).otherwise(F.size("drops")).cast("long"))
-    return both.withColumn("kept", F.when(none, F.col("body")).otherwise(kept)).drop("drops", "lines", "body", "body_hash", "owner")
+    return both.select("row", F.size("lines").cast("long").alias("n_lines"), F.when(none, 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"), F.when(none, text).otherwise(kept).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with n_lines, n_dropped and kept (the text that stays).
 
     Lines whose key has at least ``min_chars`` code points and is in at least two documents stay only in the document
-    of the smallest doc_id holding it (all its occurrences there). Null or empty text is one empty line.
-    Rows of one doc_id are one document; a null doc_id is a document too, smaller than all others. Batches
-    are ranges of doc_id, so the smallest doc_id of a line is always met first.
+    of the smallest doc_id holding it (all its occurrences there). Null or empty text is one empty line; an empty
+    table gives no rows. Rows of one doc_id are one document; a null doc_id is a document too, smaller than all
+    others. Other columns stay, whatever their names, but for n_lines, n_dropped and kept, which are replaced. Batches are
+    ranges of doc_id, so the smallest doc_id of a line is always met first.
     """
     spark = docs.sparkSession
     runs = runs or LineRuns(spark)
-    key = F.coalesce(F.col("doc_id"), F.lit(_FIRST))
     bounds = sorted({int(b) for b in docs.where("doc_id is not null").stat.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
-    own = docs.drop("n_lines", "n_dropped", "kept", "body", "body_hash", "owner", "drops", "lines", "d", "b")
-    own = own.withColumn("owner", key).withColumn("body", whole_text()).withColumn("body_hash", F.xxhash64("body"))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")]
     out = None
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = own
+        part = docs
         # The conditions are on doc_id itself, so that they reach the scan.
         if low is not None:
             part = part.where(F.col("doc_id") > low)
         if high is not None:
             part = part.where((F.col("doc_id") <= high) | (F.col("doc_id").isNull() if low is None else F.lit(False)))
-        done = _batch(part, runs, min_chars)
+        part = part.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+        own = part.select("row", F.col("row.doc_id").alias("doc_id"), F.coalesce("row.doc_id", F.lit(_FIRST)).alias("owner"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("body_hash"))
+        done = _batch(own, runs, min_chars)
         out = done if out is None else out.unionByName(done)
-    return out
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in names), "n_lines", "n_dropped", "kept")

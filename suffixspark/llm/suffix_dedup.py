@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import CHUNK, as_int64, buffers, chunks, materialise, whole_text
+from .common import CHUNK, as_int64, buffers, chunks, materialise, whole_text, with_keys
 from .difference_cover import repeated_windows
 
 LENGTH = 200
@@ -38,7 +38,6 @@ LENGTH = 200
 NAME = ("h", "g", "g2")
 _KINDS = "h long, g long, g2 long"
 HOT_GROUP = 2048
-HEAVY = 4096
 #: Bits of an anchor's key that hold its place in the chunk.
 _PLACE = 21
 
@@ -172,19 +171,6 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(whole_text()).alias("body_hash"), whole_text().cast("binary").alias("body"))
 
 
-def _with_keys(rows: DataFrame, keys: DataFrame, on: tuple[str, ...], weight: str, salt: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
-    """Inner join of rows with keys: written, one row for each key, ``weight`` its number of rows.
-
-    A key with over 1/HEAVY of all weight has its rows dealt, by hash of ``salt``, to as many salts as keep each under that
-    share. There are under HEAVY such keys, whatever the input, so they are broadcast; and at most 2 * HEAVY salts.
-    """
-    share = (keys.agg(F.sum(weight)).first()[0] or 0) / HEAVY
-    heavy = keys.where(F.col(weight) > share).where(F.col(weight) > HEAVY).select(*on, F.ceil(F.col(weight) / max(share, 1)).cast("int").alias("_salts"))
-    dealt = rows.join(F.broadcast(heavy), [*on], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
-    each = keys.join(F.broadcast(heavy), [*on], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return dealt.join(each, [*on, "_salt"]).drop("_salt")
-
-
 def _sorted_runs(names: DataFrame, length: int) -> DataFrame:
     """(name, c, runs) of names (name, c, body) with repeated windows, by difference cover in the buckets of h."""
     dealt = names.select(*NAME, "c", "body").repartition("h").sortWithinPartitions(*NAME)
@@ -202,17 +188,17 @@ def _hot_runs(names: DataFrame, length: int) -> DataFrame:
     own = names.select(*NAME, "body").join(wanted, [*NAME])
     texts = own.select(F.explode(F.transform("ws", lambda x: F.struct(x.w1.alias("h"), x.w2.alias("g"), F.lit(0).cast("long").alias("g2"), x.k.alias("c"), window(x.o).alias("body")))).alias("x")).select("x.*")
     found = materialise(_sorted_runs(texts, length).select(F.col("h").alias("w1"), F.col("g").alias("w2"), F.col("c").alias("k")))
-    hits = _with_keys(windows, found, ("w1", "w2"), "k", (*NAME, "o"))
+    hits = with_keys(windows, found, ("w1", "w2"), "k", (*NAME, "o"))
     return hits.groupBy(*NAME).agg(F.max("c").alias("c"), F.flatten(F.collect_set(F.array("o", F.lit(1)))).alias("runs"))
 
 
 def _runs(bodies: DataFrame, length: int, hot_group: int) -> DataFrame:
     spans = bodies.mapInArrow(_span_rows(length), f"doc_id long, body_hash long, start long, n int, {_KINDS}")
     twice = materialise(spans.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
-    spans = materialise(_with_keys(spans, twice, ("h",), "k").select("doc_id", "body_hash", "start", "n", *NAME))
+    spans = materialise(with_keys(spans, twice, ("h",), "k").select("doc_id", "body_hash", "start", "n", *NAME))
     named = materialise(spans.groupBy(*NAME).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "body_hash", "start", "n")).alias("at")))
     groups = materialise(named.groupBy("h").agg(F.count("*").alias("m")))
-    wanted = _with_keys(named.select(*NAME, "c", "at"), groups, ("h",), "m", ("g",)).select(F.col("at.doc_id").alias("d"), F.col("at.body_hash").alias("b"), F.struct(*NAME, "c", "at.start", "at.n", (F.col("m") > hot_group).alias("hot")).alias("span"))
+    wanted = with_keys(named.select(*NAME, "c", "at"), groups, ("h",), "m", ("g",)).select(F.col("at.doc_id").alias("d"), F.col("at.body_hash").alias("b"), F.struct(*NAME, "c", "at.start", "at.n", (F.col("m") > hot_group).alias("hot")).alias("span"))
     wanted = wanted.groupBy("d", "b").agg(F.collect_list("span").alias("spans"))
     cut = bodies.join(wanted, bodies.doc_id.eqNullSafe(wanted.d) & bodies.body_hash.eqNullSafe(wanted.b))
     fields = lambda s: [s[x].alias(x) for x in (*NAME, "c", "hot")]
@@ -222,7 +208,7 @@ def _runs(bodies: DataFrame, length: int, hot_group: int) -> DataFrame:
         found = found.unionByName(_hot_runs(cut.where("hot"), length))
     found = materialise(found)
     pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct((F.col("start") + F.get("runs", i)).alias("start"), F.get("runs", i + 1).alias("n")))
-    return _with_keys(spans.drop("n"), found, NAME, "c").select("doc_id", "body_hash", F.explode(pairs).alias("run")).select("doc_id", "body_hash", "run.*")
+    return with_keys(spans.drop("n"), found, NAME, "c").select("doc_id", "body_hash", F.explode(pairs).alias("run")).select("doc_id", "body_hash", "run.*")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP) -> DataFrame:

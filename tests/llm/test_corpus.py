@@ -131,10 +131,42 @@ def test_lines(spark, batches):
 
 def test_runs_are_levelled(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
+    keys = lambda rows: spark.createDataFrame(rows, "h1 long, h2 long, owner long")
     for i in range(5):
-        runs.add(spark.createDataFrame([(i, 0, i), (100, 0, i)], runs.schema))
+        new = runs.known(keys([(i, 0, i), (100, 0, i)])).where("known is null")
+        runs.add(new.select("h1", "h2", "owner"))
         assert all(len(level) < 2 for level in runs.levels)
-    assert sorted((r["h1"], r["owner"]) for r in runs.known().collect()) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (100, 0)]
+    every = [r for run in runs.runs() for r in run.collect()]
+    assert sorted((r["h1"], r["owner"]) for r in every) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (100, 0)]
+
+
+def test_runs_are_read_as_they_lie(spark):
+    """The batch's keys are exchanged and sorted once, the runs not at all."""
+    runs = line_dedup.LineRuns(spark, fanout=9)
+    keys = lambda a, b: spark.range(a, b).select(F.col("id").alias("h1"), F.xxhash64("id").alias("h2"), F.col("id").alias("owner"))
+    runs.add(keys(0, 500))
+    runs.add(keys(500, 900))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with line_dedup._sorted_buckets(spark):
+            found = runs.known(keys(300, 1200))
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert found.where("known is not null").count() == 600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1, plan
+
+
+def test_lines_of_odd_tables(spark):
+    rows = [(1, "a common line here\nx", "u", 7, "d"), (2, "A common line here \ny", "v", 8, "e"), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, lines long, `a.b` string")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped", "kept"]
+    got = {r["doc_id"]: tuple(r)[2:] for r in out.collect()}
+    assert got == {1: ("u", 7, "d", 2, 0, "a common line here\nx"), 2: ("v", 8, "e", 2, 1, "y"), None: (None, None, None, 1, 0, "")}
+    long = spark.createDataFrame([(1, "one long line of words\n" * 50_000), (2, "x" * 10**6 + "\none long line of words")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(long).collect()} == {1: (50_001, 0), 2: (2, 1)}
 
 
 def test_targets():

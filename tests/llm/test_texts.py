@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from suffixspark.llm import difference_cover, fingerprint, html_extract, pii, quality_fm, rolling, suffix_dedup
+from suffixspark.llm import common, difference_cover, fingerprint, html_extract, pii, quality_fm, rolling, suffix_dedup
 
 ODD = [(None, "a" * 50), (1, None), (2, ""), (3, "abc" * 40), (3, "abc" * 40), (4, "xyabcabcabcabcabcé"), (None, "a" * 50), (5, "q" * 7)]
 
@@ -65,7 +65,7 @@ def brute_repeats(rows, n):
 
 @pytest.mark.parametrize("n,hot,heavy", [(6, 4096, 4096), (6, 2, 4096), (6, 2, 3), (25, 4096, 4096), (25, 2, 4096), (25, 4096, 3)])
 def test_repeats(spark, monkeypatch, n, hot, heavy):
-    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(common, "HEAVY", heavy)
     r = random.Random(n)
     rows = ODD + [(10 + i, "".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for i in range(40)]
     got = suffix_dedup.remove_repeats(with_extras(spark, rows), n, hot)
