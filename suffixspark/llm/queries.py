@@ -54,6 +54,25 @@ def op10_small_world_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+# Bytes are two hexadecimal digits each, as blobs can't be cut.
+_OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, o, md5_number(substr(x, 2 * o + 1, 400)) AS h FROM (SELECT r, x, unnest(range(strlen(x) // 2 - 199)) AS o FROM d)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT r, o FROM w SEMI JOIN twice USING (h)),
+marked AS (SELECT r, o, coalesce(o - lag(o) OVER (PARTITION BY r ORDER BY o) > 200, true) AS first FROM hits),
+islands AS (SELECT r, o, sum(first::INT) OVER (PARTITION BY r ORDER BY o) AS i FROM marked),
+spans AS (SELECT r, min(o) AS a, max(o) + 200 AS e FROM islands GROUP BY r, i),
+gaps AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+cut AS (
+  SELECT d.r, count(*) AS n, sum(e - a) AS removed, max(e) AS tail, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM gaps JOIN d ON d.r = gaps.r GROUP BY d.r
+)
+SELECT doc_id, CAST(strlen(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN x ELSE head || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.r = d.r
+"""
+
 _OP5 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -96,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": _OP5, "op9_line_dedup_runs": _OP9}
+    return {"op1_suffix_array_dedup": _OP1, "op5_minhash_near_dedup": _OP5, "op9_line_dedup_runs": _OP9}
