@@ -451,6 +451,12 @@ def _prefix_sql(name: str, key: str, text: str, top: int) -> str:
 
 _ORACLE = {
     "sa_per_part": "SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY substr(p_name, pos + 1)) - 1 AS idx, pos FROM (SELECT p_partkey, p_name, unnest(range(length(p_name))) AS pos FROM part)",
+    # Whole suffixes are compared where their first 64 characters tie.
+    "sa_per_document": """
+        WITH p AS (SELECT doc_id, text, unnest(range(length(text))) AS pos FROM documents),
+        k AS (SELECT doc_id, text, pos, substr(text, pos + 1, 64) AS near FROM p),
+        t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, near) > 1 AS tied FROM k)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY near, CASE WHEN tied THEN substr(text, pos + 1) END) - 1 AS idx, pos FROM t""",
     "sa_per_benchmark_item": "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY substr(text, pos + 1)) - 1 AS idx, pos FROM (SELECT item_id, text, unnest(range(length(text))) AS pos FROM benchmark)",
     "sa_part_names": f"WITH {_T} {_SA}",
     "sa_part_names_dc7": f"WITH {_T} {_SA}",

@@ -6,8 +6,6 @@ import pytest
 import __spark_entry__ as entry_module
 from suffixspark.plans import catalog
 
-ROWS_ONLY = set(catalog.queries()) - set(catalog.oracle_sql())
-
 
 @pytest.fixture(scope="module")
 def tables(sf):
@@ -30,9 +28,8 @@ def test_query_matches_sql(spark, sf, tables, name):
     assert sorted(repr(list(r)) for r in got.select(*names).collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_query_has_rows(spark, sf, name):
-    assert catalog.queries()[name](spark, sf).count() > 0
+def test_each_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_entry(spark):
