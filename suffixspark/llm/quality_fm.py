@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,12 +198,12 @@ def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> Data
     Null and empty texts are scored by their statistics (all 0); repeated rows score alike; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and FACTORS
-    own = docs.drop("held_out", "score", "predicted", "_body")
+    own = docs.drop("held_out", "score", "predicted")
     names = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = buffers(batch.column("_body"))
+            offsets, data = buffers(pc.fill_null(batch.column("text"), ""))
             scores = [shared.value.score(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in chunks(offsets)]
             s = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s, pa.float64())], [*names, "score"])
@@ -210,5 +211,5 @@ def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> Data
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType([*own.schema.fields]).add("score", DoubleType())
-    out = own.withColumn("_body", whole_text().cast("binary")).mapInArrow(run, schema)
+    out = own.mapInArrow(run, schema)
     return out.withColumn("held_out", held_out("doc_id")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
